@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that defines it
 MODULES = {
+    "op4_quality_classifier": "classifier",
     "op3_mix_sources": "mixing",
     "op8_quality_rules": "quality_rules",
     "op9_kd_sharding": "sharding",

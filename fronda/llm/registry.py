@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that defines it
 MODULES = {
+    "op2_sentencepiece": "pieces",
     "op10_language_id": "language",
     "op4_quality_classifier": "classifier",
     "op3_mix_sources": "mixing",

@@ -129,7 +129,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     shards = shards or max(1, -(-total // (target_bytes or total or 1)))
     most = max(1, total // (shards * HOT))
     groups = groups.withColumn("pieces", F.when(F.col("bytes") > F.lit(2) * F.col("size") - 1, F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(most)))).otherwise(F.lit(1)).cast("long"))
-    joined = rows.select("doc_id", *group).join(groups.drop("bytes"), group)
+    # written first, so that both sides of the join are plain exchanges and a hot group's rows can be split
+    groups = scratch.save(groups.drop("bytes"), "groups")
+    joined = rows.select("doc_id", *group).join(groups, group)
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces"))).otherwise(F.lit(0))
     tie = F.xxhash64("text_hash", "piece")
     placed = scratch.save(
@@ -145,7 +147,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     )
     points = scratch.save(placed.groupBy(*DIMS).agg(F.sum("size").alias("weight")), "points")
     levels, shard_of = kd_rules(points, shards)
-    scratch.drop("rows", "points")
+    scratch.drop("rows", "groups", "points")
     numbers = F.broadcast(_values(spark, sorted(shard_of.items()), "node, number"))
     sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(SUB_BUCKETS)).alias("sub")
     out = _descend(placed, levels).join(numbers, "node").select("doc_id", "size", "text_crc32", F.col("number").cast("int").alias("shard"), sub)

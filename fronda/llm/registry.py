@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that defines it
 MODULES = {
+    "op5_nearest_neighbours": "neighbours",
     "op7_html_text": "html_text",
     "op2_sentencepiece": "pieces",
     "op10_language_id": "language",

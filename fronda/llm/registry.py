@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that defines it
 MODULES = {
+    "op1_brown_lm": "brown",
     "op6_near_duplicates": "jaccard",
     "op5_nearest_neighbours": "neighbours",
     "op7_html_text": "html_text",

@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from fronda.llm.common import Scratch
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 RUN = 256
-MEMO = 400_000
+MEMO = 250_000  # segments, twice
 LOW = -1e300
 
 
@@ -52,12 +53,15 @@ class Vocabulary:
         self.pieces = {p: (i, s) for p, i, s in pieces}
         self.byte_ids, self.byte_score = byte_ids, byte_score
         self.longest = max((len(p) for p in self.pieces), default=1)
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        # score of every piece, LOW for what only starts one
+        self.table = {p[:k]: LOW for p in self.pieces for k in range(1, len(p) + 1)} | {p: s for p, (_, s) in self.pieces.items()}
         self.bytes = {i: p.encode() for p, i, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         cut_space = not any(re.search(r"[^ ] ", p) for p in self.pieces)
         cut_line = not any("\n" in p and len(p) > 1 for p in self.pieces)
         self.segments = re.compile((r" +[^ \n]*|[^ \n]+|\n" if cut_line else r" +[^ ]*|[^ ]+") if cut_space else r"(?s).+")
-        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}  # segments met lately
+        self.old: dict[str, tuple[float, tuple[int, ...]]] = {}  # and before that
+        self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -79,11 +83,12 @@ class Vocabulary:
         alone, k = True, i + 1
         while k <= end:
             part = s[i:k]
-            if part not in self.starts:
+            v = self.table.get(part)
+            if v is None:
                 break
-            if part in self.pieces:
+            if v > LOW:
                 alone &= k > i + 1
-                yield k, self.pieces[part][1]
+                yield k, v
             k += 1
         if alone and i < end:
             yield i + 1, self.byte_score * len(s[i].encode("utf-8", "surrogatepass"))
@@ -92,10 +97,21 @@ class Vocabulary:
         """Best score from each position in [low, end) to `end` and the next position, with no piece starting in [inner, end)."""
         score, to = [LOW] * (end + 1), [-1] * (end + 1)
         score[end] = 0.0
+        table = self.table
         for i in range(min(inner, end) - 1, low - 1, -1):
-            for k, v in self.edges(s, i, end):
-                if score[k] + v >= score[i] and score[k] > LOW:
-                    score[i], to[i] = score[k] + v, k
+            v = table.get(s[i])
+            if v is None or v <= LOW:
+                v = self.byte_score * len(s[i].encode("utf-8", "surrogatepass"))
+            best, at, k = score[i + 1] + v, i + 1, i + 2
+            while k <= end:
+                v = table.get(s[i:k])
+                if v is None:
+                    break
+                if v + score[k] >= best:
+                    best, at = v + score[k], k
+                k += 1
+            if best > LOW / 2:
+                score[i], to[i] = best, at
         return score, to
 
     def spell(self, s: str, i: int, k: int) -> list[int]:
@@ -112,23 +128,23 @@ class Vocabulary:
         return score[0], ids
 
     def segment(self, s: str) -> tuple[float, tuple[int, ...]]:
-        found = self.memo.get(s)
+        found = self.old.get(s)
         if found is None:
             score, ids = self.path(s)
             found = (score, tuple(ids))
-            if len(s) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[s] = found
+        if len(s) <= 64:
+            if len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
+            self.memo[s] = found
         return found
 
-    def whole(self, s: str, ids: list[int]) -> float:
+    def whole(self, s: str, ids) -> float:
         """Appends the ids of `s`, which starts and ends where no piece can cross; its score."""
         total, memo = 0.0, self.memo
         for part in self.segments.findall(s):
             score, own = memo.get(part) or self.segment(part)
             total += score
-            ids += own
+            ids.extend(own)
         return total
 
     def cuts(self, s: str, size: int) -> tuple[int, int] | None:
@@ -187,7 +203,31 @@ class Vocabulary:
     def decode(self, ids) -> str:
         """The text of a whole id sequence."""
         table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of many id sequences, copied piece by piece from one buffer."""
+        if self._flat is None:
+            top = max(self.bytes, default=-1) + 1
+            sizes = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
+            self._flat = (np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(top)), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        data, begin, sizes = self._flat
+        offsets = lists.offsets.to_numpy()
+        ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        length = sizes[ids]
+        ends = np.append(0, np.cumsum(length))
+        flat = data[np.repeat(begin[ids] - ends[:-1], length) + np.arange(ends[-1])]
+        at = ends[offsets - offsets[0]]
+        full = np.diff(at) > 0
+        keep = np.ones(len(flat), bool)
+        keep[at[:-1][full]] = False  # the space put before the text
+        at = at - np.append(0, np.cumsum(full))
+        texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat[keep].tobytes()))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # not the ids of a text
+            texts = pa.array([self.decode(i) for i in lists.to_pylist()], pa.string())
+        return texts
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,11 +251,8 @@ def states(matrices: list[np.ndarray], entry: int, leave: int | None) -> list[tu
     return out[::-1]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _lists(flat: array, ends: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(np.frombuffer(flat, np.int32)))
 
 
 ENCODED = "doc_id long, text_crc32 long, ids array<int>, n_chunks long, score double"
@@ -234,13 +271,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, score, crc = [], [], []
+                ids, ends, score, crc = array("i"), [], [], []
                 for t in part.column("text").to_pylist():
-                    own: list[int] = []
-                    score.append(v.whole(" " + t, own) if t else 0.0)
-                    ids.append(own)
+                    score.append(v.whole(" " + t, ids) if t else 0.0)
+                    ends.append(len(ids))
                     crc.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(crc, pa.int64()), _lists(ids), pa.array(np.ones(len(ids), np.int64)), pa.array(score, pa.float64())], ["doc_id", "text_crc32", "ids", "n_chunks", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(crc, pa.int64()), _lists(ids, ends), pa.array(np.ones(len(ends), np.int64)), pa.array(score, pa.float64())], ["doc_id", "text_crc32", "ids", "n_chunks", "score"])
 
     def split(batches):
         ahead = vocabulary.value.longest - 1
@@ -284,8 +320,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ids = [v.trace(*r) for r in zip(*(part.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "doc_id", "text_crc32", "chunk", "score")), _lists(ids)], ["key", "doc_id", "text_crc32", "chunk", "score", "ids"])
+                ids, ends = array("i"), []
+                for r in zip(*(part.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True):
+                    ids.extend(v.trace(*r))
+                    ends.append(len(ids))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "doc_id", "text_crc32", "chunk", "score")), _lists(ids, ends)], ["key", "doc_id", "text_crc32", "chunk", "score", "ids"])
 
     scratch = Scratch(spark)
     chunks = scratch.save(
@@ -313,8 +352,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = [v.decode(ids or []) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, v.decode_lists(part.column("ids").fill_null([]))], [*names, "text"])
 
     return encoded.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")
 

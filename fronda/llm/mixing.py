@@ -135,13 +135,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
 
 def mixed_copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """`docs` with each row whole, kept 0, 1 or 2 times: its taken share of itself, rounded by a seeded draw."""
-    columns = docs.columns
-    share = mix_sources(docs.select("doc_id", "text", "source"), seed=seed).groupBy(F.col("doc_id").alias("m_doc_id")).agg(F.sum("size").alias("m_size"), F.sum("taken").alias("m_taken"))
-    draw = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    ratio = F.when(F.col("m_size") > 0, F.col("m_taken") / F.col("m_size")).otherwise(F.lit(0.0))
-    joined = docs.join(share, F.col("doc_id").eqNullSafe(F.col("m_doc_id")))
+    columns, mark = docs.columns, "mix_"
+    while any(c.startswith(mark) for c in columns):
+        mark += "_"
+    sums = [F.sum("size").alias(f"{mark}size"), F.sum("taken").alias(f"{mark}taken")]
+    share = mix_sources(docs.select("doc_id", "text", "source"), seed=seed).groupBy(F.col("doc_id").alias(f"{mark}id")).agg(*sums)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id").cast("long")), F.lit(1 << 30)) / float(1 << 30)
+    ratio = F.when(F.col(f"{mark}size") > 0, F.col(f"{mark}taken") / F.col(f"{mark}size")).otherwise(F.lit(0.0))
+    joined = docs.join(share, F.col("doc_id").eqNullSafe(F.col(f"{mark}id")))
     copies = F.least(F.floor(ratio) + (draw < ratio - F.floor(ratio)).cast("long"), F.lit(int(CAP)))
-    return joined.withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)
+    return joined.withColumn(f"{mark}copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

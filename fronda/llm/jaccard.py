@@ -7,16 +7,20 @@ a and b of one band's pairs with Jaccard similarity of 0.8 or more differ in at
 most K = (|a| + |b|) / 9 shingles.  Shingles are dealt by hash to N1 first-level
 parts; K + 1 <= 2 N1 makes some part differ in at most one shingle.  Each part
 has three second-level parts, and every subset of two is a signature: at most one
-is touched by that shingle, so the sets share one.  Signatures without any
-shingle say nothing and are left out wherever the rest still suffices: if a
-set has w parts with an empty signature, 2 (N1 - w) > K keeps some telling part
-shared, whatever the partner; sets for which that fails keep all of theirs.
-
-Signatures travel as packed arrays, dealt by hash; equal ones are joined in
-a star to one document, never as all pairs.  Each connected group of those
-stars is then resolved exactly on the sets themselves (groups beyond BLOCK sets
-by pairs of blocks), so no link is lost and none is guessed.  Equal sets are one
-node throughout.
+is touched by that shingle, so the sets share one.  A signature tells something if
+it holds a shingle that is not common (COMMON_ROWS or more of a bounded sample
+of SAMPLE documents; any list would give the same links).  Others are left out:
+if w parts of a set have a signature that tells nothing, 2 (N1 - w) > K keeps
+some telling one shared, whatever the partner.  Sets for which that fails also
+carry the shingles of their prefix, |a| - ceil(0.8 |a|) + 1 of them with the
+uncommon first, of which two such sets within the threshold share one.
+
+Signatures travel as packed arrays, dealt by hash.  Equal ones give all pairs of
+at most RUN documents, else a star.  A pair is dropped if the parity bitmaps of
+its sets differ in more places than the sets may (a proof, never a guess).  Each
+connected group of what is left is then resolved exactly on the sets themselves
+(groups beyond BLOCK sets by pairs of blocks), so no link is lost and none is
+assumed.  Equal sets are one node throughout.
 
 Edge cases: a null or empty text has no shingles and links with nothing; a text
 with fewer words is one shingle; repeated rows are linked as equal sets; null
@@ -46,6 +50,10 @@ SLACK = 0.12  # first-level parts beyond the least number
 FLUSH = 3_000_000  # signatures a task packs at once
 BLOCK = 1536  # sets resolved together
 FILTER_BITS = 1 << 24
+RUN = 16  # documents of one signature that are paired with each other
+SAMPLE = 16_384
+COMMON_ROWS = 3
+COMMON = 200_000  # most common shingles that are told apart
 
 _EDGES = np.array([(DENOMINATOR / NUMERATOR) ** i for i in range(120)])
 
@@ -88,11 +96,15 @@ def digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums + np.diff(at).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the set and 64-bit key of every signature."""
+def signatures(sets: np.ndarray, at: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the set and 64-bit key of every signature; common: sorted hashes of common shingles."""
     size = np.diff(at)
     band = np.searchsorted(_EDGES, size, "right") - 1
-    who_all, key_all = [], []
+    telling = np.ones(len(sets), bool)
+    if common is not None and len(common):
+        telling = common[np.minimum(np.searchsorted(common, sets), len(common) - 1)] != sets
+    unsure = np.zeros(len(size), bool)
+    who_all, key_all = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for below in (0, 1):
         tag = band - below
         use = (size > 0) & (tag >= 0)
@@ -113,34 +125,91 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         low = np.bincount(cell, (g & U64(0xFFFFFFFF)).astype(np.float64), n_cells).astype(U64)
         high = np.bincount(cell, (g >> U64(32)).astype(np.float64), n_cells).astype(U64)
         sums = (low + (high << U64(32))).reshape(-1, PARTS)
-        count = np.bincount(cell, minlength=n_cells).reshape(-1, PARTS)
+        count = np.bincount(cell, telling[member], n_cells).reshape(-1, PARTS)
         part_doc = np.repeat(np.arange(len(size)), n1)
         part_no = np.arange(len(part_doc)) - np.repeat(np.append(0, np.cumsum(n1))[:-1], n1)
-        empty = np.stack([count.sum(axis=1) - count[:, j] == 0 for j in range(PARTS)], axis=1)
-        weak = np.bincount(part_doc, empty.any(axis=1), len(size))
-        sure = 2 * (n1 - weak) > MOST[tag]
+        mute = np.stack([count.sum(axis=1) - count[:, j] == 0 for j in range(PARTS)], axis=1)
+        weak = np.bincount(part_doc, mute.any(axis=1), len(size))
+        unsure |= use & (2 * (n1 - weak) <= MOST[tag])
         for j in range(PARTS):
-            keep = ~(empty[:, j] & sure[part_doc])
+            keep = ~mute[:, j]
             rest = [i for i in range(PARTS) if i != j]
             key = mix(sums[:, rest[0]] + U64(0x9E3779B97F4A7C15)) + mix(sums[:, rest[1]] + U64(0x7F4A7C159E3779B9))
             name = (tag[part_doc] << 40).astype(U64) + (part_no.astype(U64) << U64(2)) + U64(j)
             key_all.append(mix(key ^ mix(name))[keep])
             who_all.append(part_doc[keep])
-    if not who_all:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+    for i in np.flatnonzero(unsure):
+        own, plain = sets[at[i] : at[i + 1]], ~telling[at[i] : at[i + 1]]
+        n = len(own)
+        prefix = own[np.lexsort((own, plain))][: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
+        key_all.append(mix(prefix ^ U64(0xC0FFEE1234567)))
+        who_all.append(np.full(len(prefix), i))
     return np.concatenate(who_all), np.concatenate(key_all)
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from every node to one node of the same key (the one with the least mixed number), each once."""
-    rank = mix(nodes.astype(U64))
-    order = np.lexsort((rank, keys))
+def _bits(size: np.ndarray) -> np.ndarray:
+    """Length of the parity bitmap of a set: a power of two, 2 to 4 bits a shingle, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1) * 2)).astype(np.int64))
+
+
+def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set, which bits an odd number of its shingles fall on."""
+    size = np.diff(at)
+    bits = _bits(size)
+    begin = np.append(0, np.cumsum(bits))
+    doc = np.repeat(np.arange(len(size)), size)
+    place = begin[doc] + (mix(sets ^ U64(0xABCDEF0123)) & (bits[doc] - 1).astype(U64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in itertools.pairwise(begin.tolist())]
+
+
+def may_link(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
+    """False only if sets of these sizes and parity bitmaps differ too much: every differing bit is a differing shingle."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    most = (n_a + n_b) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+    return abs(n_a - n_b) <= most and int(np.bitwise_count(x ^ y).sum()) <= most
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of at most COMMON shingles that occur in COMMON_ROWS or more of SAMPLE documents with different sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = C.text_buffer(batch.column("text"))
+            for i, j in C.slices(offsets):
+                sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                digest = digests(sets, at)
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(np.repeat(digest, np.diff(at)).view(np.int64)), "shingle": pa.array(sets.view(np.int64))})
+
+    # at most SAMPLE ids of 8 bytes
+    found = rows.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "digest long, shingle long")
+    often = found.distinct().groupBy("shingle").count().filter(F.col("count") >= COMMON_ROWS).orderBy(F.col("count").desc(), "shingle").limit(COMMON).select("shingle").toPandas()
+    return np.sort(often["shingle"].to_numpy(np.int64).view(U64))
+
+
+def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, node) rows, each once: all pairs of at most RUN nodes with one key; else a star round the one of least mixed number."""
+    order = np.lexsort((mix(nodes.astype(U64)), keys))
     keys, nodes = keys[order], nodes[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    centre = nodes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-    far = centre != nodes
-    pairs = np.unique(np.stack([centre[far], nodes[far]], axis=1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    run = np.diff(np.append(begin, len(keys)))
+    pairs, stars = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for m in range(2, RUN + 1):
+        members = nodes[begin[run == m][:, None] + np.arange(m)]
+        a, b = np.triu_indices(m, 1)
+        pairs.append(np.stack([members[:, a].ravel(), members[:, b].ravel()], axis=1))
+    for i in np.flatnonzero(run > RUN):
+        own = nodes[begin[i] : begin[i] + run[i]]
+        stars.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], axis=1))
+    each = lambda rows: (lambda x: x[x[:, 0] != x[:, 1]])(np.unique(np.sort(np.concatenate(rows), axis=1), axis=0))
+    return each(pairs), each(stars)
 
 
 def linked(sets: list[np.ndarray]) -> list[int]:
@@ -188,16 +257,16 @@ def linked(sets: list[np.ndarray]) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-_PACKED = "bucket long, kind int, chunk long, a binary, b binary, c binary, d binary"
-_FOUND = "kind int, doc_id long, n_shingles long, digest long, node long, other long"
+_PACKED = "bucket long, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
+_FOUND = "kind int, doc_id long, n_shingles long, digest long, node long, other long, parity binary"
 
 
-def _pack(docs: DataFrame, buckets: int) -> DataFrame:
+def _pack(docs: DataFrame, buckets: int, common) -> DataFrame:
     """Signatures by bucket and document rows, as packed arrays (one row a task, chunk and bucket)."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        rows: dict[str, list] = {k: [] for k in ("id", "null", "n", "digest", "idx")}
+        rows: dict[str, list] = {k: [] for k in ("id", "null", "n", "digest", "idx", "parity")}
         keys, who, n_keys = [], [], 0
         nodes: dict[int, int] = {}
 
@@ -205,21 +274,21 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal seq, n_keys
             chunk = (part << 12) + seq
             cat = lambda k, t: np.concatenate(rows[k]).astype(t).tobytes() if rows[k] else b""
-            out = [(chunk % buckets, 0, chunk, cat("id", np.int64), cat("null", np.uint8), cat("n", np.int64), cat("digest", U64) + cat("idx", np.uint16))]
+            out = [(chunk % buckets, 0, chunk, cat("id", np.int64), cat("null", np.uint8), cat("n", np.int64), cat("digest", U64) + cat("idx", np.uint16), b"".join(rows["parity"]))]
             if keys:
                 key, own = np.concatenate(keys), np.concatenate(who).astype(np.uint16)
                 bucket = (key >> U64(32)) % U64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 key, own, bucket = key[order].astype(np.uint32), own[order], bucket[order]
                 at = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
-                out += [(b, 1, chunk, key[at[b] : at[b + 1]].tobytes(), own[at[b] : at[b + 1]].tobytes(), b"", b"") for b in range(buckets) if at[b] < at[b + 1]]
+                out += [(b, 1, chunk, key[at[b] : at[b + 1]].tobytes(), own[at[b] : at[b + 1]].tobytes(), b"", b"", b"") for b in range(buckets) if at[b] < at[b + 1]]
             for v in (*rows.values(), keys, who):
                 v.clear()
             nodes.clear()
             seq, n_keys = seq + 1, 0
             for i in range(0, len(out), 64):
-                names = ["bucket", "kind", "chunk", "a", "b", "c", "d"]
-                types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                names = ["bucket", "kind", "chunk", "a", "b", "c", "d", "e"]
+                types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + 64], strict=True), types, strict=True)], names)
 
         for batch in batches:
@@ -241,12 +310,13 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
                     numbers, first = np.unique(idx, return_index=True)
                     fresh = np.zeros(hi - lo, bool)
                     fresh[first[numbers >= known]] = True
-                    own, key = signatures(*_some(sets, at, fresh))
+                    own, key = signatures(*_some(sets, at, fresh), common.value)
                     keys.append(key)
                     who.append(idx[np.flatnonzero(fresh)][own])
                     n_keys += len(key)
                     for name, v in (("id", id_values[lo:hi]), ("null", id_null[lo:hi]), ("n", np.diff(at)), ("digest", digest), ("idx", idx)):
                         rows[name].append(v)
+                    rows["parity"] += parities(sets, at)
         if rows["id"]:
             yield from flush()
 
@@ -258,15 +328,15 @@ def _some(sets: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarr
 
 
 def _unpack(batches):
-    """Document rows, and star edges of each bucket's equal signatures."""
+    """Document rows (kind 0), and pairs (1) and stars (2) of each bucket's equal signatures."""
     met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    names = ["kind", "doc_id", "n_shingles", "digest", "node", "other"]
+    names = ["kind", "doc_id", "n_shingles", "digest", "node", "other", "parity"]
 
-    def rows(kind: int, *columns):
-        n = len(columns[-1])
-        full = [pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64()) if c is None else c for c in columns]]
-        for i in range(0, n, 100_000):
-            yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in full], names)
+    def rows(kind: int, **columns):
+        n = len(columns["node"])
+        full = [pa.array(np.full(n, kind, np.int32)), *[columns.get(c, pa.nulls(n, pa.binary() if c == "parity" else pa.int64())) for c in names[1:]]]
+        for i in range(0, n, 50_000):
+            yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in full], names)
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -276,12 +346,21 @@ def _unpack(batches):
             else:
                 ids, null, n = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint8).astype(bool), np.frombuffer(r["c"], np.int64)
                 digest, idx = np.frombuffer(r["d"][: 8 * len(ids)], np.int64), np.frombuffer(r["d"][8 * len(ids) :], np.uint16).astype(np.int64)
-                yield from rows(0, pa.array(ids, mask=null), pa.array(n), pa.array(digest), pa.array((r["chunk"] << 16) + idx), pa.array(idx))
+                at = np.append(0, np.cumsum(_bits(n) // 8)).tolist()
+                parity = pa.array([r["e"][x:y] for x, y in itertools.pairwise(at)], pa.binary())
+                yield from rows(0, doc_id=pa.array(ids, mask=null), n_shingles=pa.array(n), digest=pa.array(digest), node=pa.array((r["chunk"] << 16) + idx), parity=parity)
     while met:
         _, parts = met.popitem()
-        a, b = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        if len(a):
-            yield from rows(1, None, None, None, pa.array(a), pa.array(b))
+        for kind, found in enumerate(meetings(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), 1):
+            if len(found):
+                yield from rows(kind, node=pa.array(found[:, 0].copy()), other=pa.array(found[:, 1].copy()))
+
+
+def _possible(batches):
+    """Pairs of digests that the parity bitmaps do not rule out."""
+    for batch in batches:
+        keep = [star or may_link(*r) for star, *r in zip(*(batch.column(c).to_pylist() for c in ("star", "na", "nb", "pa", "pb")), strict=True)]
+        yield batch.select(["da", "db"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -315,12 +394,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     n = partitions(spark)
     buckets = 4 * n
-    found = scratch.save(_pack(docs, buckets).repartition(n, "bucket").mapInArrow(_unpack, _FOUND), "found")
+    common = spark.sparkContext.broadcast(common_shingles(docs))  # 8 * COMMON bytes at most
+    found = scratch.save(_pack(docs, buckets, common).repartition(n, "bucket").mapInArrow(_unpack, _FOUND), "found")
     rows = found.filter("kind = 0").select("doc_id", "n_shingles", "digest", "node")
-    names = rows.select("node", "digest").distinct()
-    edges = found.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    left, right = names.select(F.col("node").alias("a"), F.col("digest").alias("da")), names.select(F.col("node").alias("b"), F.col("digest").alias("db"))
-    edges = edges.join(left, "a").join(right, "b").filter("da != db").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    names = found.filter("kind = 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("digest", "n_shingles", "parity")))
+    pairs = found.filter("kind > 0").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.max(F.col("kind") == 2).alias("star"))
+    for x in "ab":
+        pairs = pairs.join(names.select(F.col("node").alias(x), F.col("digest").alias(f"d{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
+    possible = pairs.filter("da <> db").select("star", "na", "nb", "pa", "pb", "da", "db").mapInArrow(_possible, "da long, db long")
+    edges = scratch.save(possible.select(F.col("da").alias("a"), F.col("db").alias("b")).distinct(), "edges")
     met = scratch.save(components(edges, scratch, "stars"), "met")
 
     wanted = scratch.save(rows.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(met.select(F.col("node").alias("digest"), "root"), "digest"), "wanted")
@@ -346,7 +428,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labelled = scratch.save(rows.join(labels, "digest", "left").select("doc_id", "n_shingles", "digest", F.coalesce("label", "digest").alias("label")), "labelled")
     # written first, so that a hot group's rows can be split in the join
     least = scratch.save(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    scratch.drop("found", "met", "wanted")
+    scratch.drop("found", "edges", "met", "wanted")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return labelled.join(least, "label").select("doc_id", "n_shingles", own.alias("component_id"), F.col("label").alias("group_digest"))
 

@@ -197,8 +197,25 @@ def test_signatures_are_shared_by_every_near_pair():
         both = len(np.intersect1d(a, b))
         if len(b) == 0 or 100 * both < 80 * (len(a) + len(b) - both) or set(a.tolist()) == set(b.tolist()):
             continue
-        who, key = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        common = np.unique(a[rng.random(len(a)) < rng.choice([0, 0.3, 0.9, 1])])
+        both_at = np.array([0, len(a), len(a) + len(b)])
+        who, key = jaccard.signatures(np.concatenate([a, b]), both_at, common)
         assert np.intersect1d(key[who == 0], key[who == 1]).size
+        assert jaccard.may_link(len(a), len(b), *jaccard.parities(np.concatenate([a, b]), both_at))
+
+
+def test_parity_bitmaps_rule_out_strangers():
+    rng = np.random.default_rng(8)
+    sets = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    one, two = jaccard.parities(sets, np.array([0, 450, 1000]))
+    assert not jaccard.may_link(450, 550, one, two)
+    assert jaccard.parities(sets[:0], np.array([0, 0])) == [bytes(8)]
+
+
+def test_meetings_pair_small_runs_and_star_large_ones():
+    keys, nodes = np.array([1, 1, 1, 2, 2, *[3] * 20], np.uint32), np.array([5, 6, 7, 8, 8, *range(100, 120)])
+    pairs, stars = jaccard.meetings(keys, nodes)
+    assert pairs.tolist() == [[5, 6], [5, 7], [6, 7]] and len(stars) == 19 and len({x for r in stars.tolist() for x in r}) == 20
 
 
 def test_components(spark):

@@ -263,7 +263,7 @@ def cluster(bigrams: DataFrame, top: list[int], rounds: int = ROUNDS) -> tuple[n
                     yield pa.RecordBatch.from_pydict({"slots": [slots[moved].astype(np.uint32).tobytes()], "classes": [new[moved].tobytes()]})
 
         # at most 5 bytes a slot reach the driver
-        for r in bigrams.mapInArrow(run, "slots binary, classes binary").toLocalIterator():
+        for r in bigrams.mapInArrow(run, "slots binary, classes binary").collect():
             classes[np.frombuffer(r["slots"], np.uint32)] = np.frombuffer(r["classes"], np.uint8)
 
     for turn in range(rounds):
@@ -300,7 +300,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     totals = counted.filter(F.col("chunk").isNull()).agg(F.sum("tokens"), F.sum("types"), F.sum("single")).first()
     tops = counted.filter(F.col("chunk").isNull()).select("top_words", "top_counts")
     best: list[tuple[int, int]] = []
-    for r in tops.toLocalIterator():  # CLASSES words a hash range
+    for r in tops.collect():  # CLASSES words a hash range
         best += [(-int(c), int(w)) for w, c in zip(np.frombuffer(r["top_words"], U64), np.frombuffer(r["top_counts"], np.int64), strict=True)]
         best = sorted(best)[:CLASSES]
     ends = docs.select((C.fold(F.col("doc_id").cast("long"), FOLDS) != 0).cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0

@@ -119,6 +119,7 @@ def route_from_file(path: Column) -> Column:
 def endpoint(raw: Column) -> Column:
     """Normal form of an endpoint literal: quotes off, interpolations and concatenations as :name, doubled slashes once."""
     x = F.regexp_replace(F.trim(raw), r"^['\"`]|['\"`]$", "")
-    x = F.regexp_replace(x, r"\$\{\s*(?:[A-Za-z_$][\w$]*\s*\??\.\s*)*([A-Za-z_$][\w$]*?)(?:\.value)?\s*\}", ":$1")
+    x = F.regexp_replace(x, r"\.value\s*\}", "}")
+    x = F.regexp_replace(x, r"\$\{\s*(?:[A-Za-z_$][\w$]*\s*\??\.\s*)*([A-Za-z_$][\w$]*)\s*\}", ":$1")
     x = F.regexp_replace(x, r"['\"`]\s*\+\s*(?:[A-Za-z_$][\w$]*\.)*([A-Za-z_$][\w$]*)(?:\s*\+\s*['\"`])?", ":$1")
     return F.regexp_replace(x, r"(?<!:)/{2,}", "/")

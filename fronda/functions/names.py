@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Acronyms that stay upper-case in component names.
-ACRONYMS = ("UI", "ID", "API", "URL", "HTTP", "HTML", "CSS", "JSON", "XML", "SQL", "FAQ", "PDF", "CTA", "SEO", "SVG", "QR", "OTP", "SSO")
+#: Parts of names that are written in capitals.
+ACRONYMS = ("ui", "url", "svg", "xml", "html", "css", "api", "id", "json", "http", "sdk", "db", "io", "cta", "seo", "pdf", "qr", "ai")
 
 
 def kebab(name: Column) -> Column:
@@ -32,14 +32,15 @@ def camel(name: Column) -> Column:
 
 
 def acronym(name: Column) -> Column:
-    """Pascal form with known acronyms in capitals, part by part."""
-    part = lambda x: F.when(F.upper(x).isin(*ACRONYMS), F.upper(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
-    return F.array_join(F.transform(F.split(kebab(name), "[-_]"), part), "")
+    """Pascal form of a name in parts, known acronyms in capitals; '' for a name of one part."""
+    parts = F.filter(F.split(name, "[-_]"), lambda x: x != "")
+    form = lambda x: F.when(F.lower(x).isin(*ACRONYMS), F.upper(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x)))))
+    return F.when(F.size(parts) > 1, F.array_join(F.transform(parts, form), "")).otherwise(F.lit(""))
 
 
 def candidates(name: Column) -> Column:
     """The distinct forms under which a component may be written."""
-    return F.array_distinct(F.array(name, pascal(name), kebab(name), pascal(kebab(name)), acronym(name)))
+    return F.filter(F.array_distinct(F.array(name, pascal(name), kebab(name), pascal(kebab(name)), acronym(name))), lambda x: x != "")
 
 
 def tag_keys(tag: Column) -> Column:

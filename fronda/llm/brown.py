@@ -41,7 +41,7 @@ FOLDS = 10
 CLASSES = 64
 ROUNDS = 6
 SLOT_BITS = 22
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 SMOOTH = 50.0
 END, UNKNOWN, N_CLASSES = CLASSES, CLASSES + 1, CLASSES + 2
 END_SLOT = 1 << SLOT_BITS

@@ -227,3 +227,28 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).drop("spans")
+
+
+#: The same rows from windows of words instead of a suffix array, for small tables.
+ORACLE_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+base AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines
+    FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts)),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
+grams AS (SELECT doc_id, i, i + 2 <= len(w) AS has3, i + {MIN_REPEAT - 1} <= len(w) AS has, md5(array_to_string(w[i : i + 2], ' ')) AS g3, md5(array_to_string(w[i : i + {MIN_REPEAT - 1}], ' ')) AS g FROM places),
+twice3 AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g3) AS n FROM grams WHERE has3) WHERE n > 1),
+repeat3 AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice3) GROUP BY doc_id),
+twice AS (SELECT doc_id, i, g FROM (SELECT doc_id, i, g, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE has) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS covered_words FROM (SELECT doc_id, unnest(range(i, i + {MIN_REPEAT})) AS p FROM twice) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id, b.i - a.i AS gap, a.i FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+runs AS (SELECT doc_id, count(*) + {MIN_REPEAT - 1} AS n FROM (SELECT doc_id, gap, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM pairs) GROUP BY doc_id, gap, island),
+longest AS (SELECT doc_id, max(n) AS longest_repeat FROM runs GROUP BY doc_id),
+joined AS (
+    SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, coalesce(longest_repeat, 0) AS longest_repeat
+    FROM base LEFT JOIN repeat3 USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {int(100 * MAX_REPEAT_WORDS)} * n_words AS base_failed,
+    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {int(100 * MAX_REPEAT_WORDS)} * n_words) AND covered_words <= {MAX_COVERED} * n_words AND longest_repeat <= {MAX_LONGEST} AS kept
+FROM joined
+"""

@@ -47,7 +47,7 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 PARTS = 3  # second-level parts; signatures cover PARTS - 1 of them
 SLACK = 0.12  # first-level parts beyond the least number
-FLUSH = 3_000_000  # signatures a task packs at once
+FLUSH = 2_000_000  # signatures a task packs at once
 BLOCK = 1536  # sets resolved together
 FILTER_BITS = 1 << 24
 RUN = 16  # documents of one signature that are paired with each other
@@ -258,7 +258,7 @@ def linked(sets: list[np.ndarray]) -> list[int]:
 
 
 _PACKED = "bucket long, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
-_FOUND = "kind int, doc_id long, n_shingles long, digest long, node long, other long, parity binary"
+_FOUND = "kind int, doc_id long, n_shingles long, digest long, node long, parity binary, shard long, a binary, b binary"
 
 
 def _pack(docs: DataFrame, buckets: int, common) -> DataFrame:
@@ -327,33 +327,60 @@ def _some(sets: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarr
     return sets[np.repeat(which, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[which]))
 
 
-def _unpack(batches):
-    """Document rows (kind 0), and pairs (1) and stars (2) of each bucket's equal signatures."""
-    met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    names = ["kind", "doc_id", "n_shingles", "digest", "node", "other", "parity"]
+def _unpack(shards: int):
+    """Document rows (kind 0), and the pairs (1) and stars (2) of a task's equal signatures, packed by shard."""
+    names = ["kind", "doc_id", "n_shingles", "digest", "node", "parity", "shard", "a", "b"]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
-    def rows(kind: int, **columns):
-        n = len(columns["node"])
-        full = [pa.array(np.full(n, kind, np.int32)), *[columns.get(c, pa.nulls(n, pa.binary() if c == "parity" else pa.int64())) for c in names[1:]]]
+    def rows(n: int, **columns):
+        full = [columns.get(c, pa.nulls(n, t)) for c, t in zip(names, types, strict=True)]
         for i in range(0, n, 50_000):
             yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in full], names)
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == 1:
-                nodes = (r["chunk"] << 16) + np.frombuffer(r["b"], np.uint16).astype(np.int64)
-                met.setdefault(r["bucket"], []).append((np.frombuffer(r["a"], np.uint32), nodes))
-            else:
+    def run(batches):
+        met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 1:
+                    nodes = (r["chunk"] << 16) + np.frombuffer(r["b"], np.uint16).astype(np.int64)
+                    met.setdefault(r["bucket"], []).append((np.frombuffer(r["a"], np.uint32), nodes))
+                    continue
                 ids, null, n = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint8).astype(bool), np.frombuffer(r["c"], np.int64)
                 digest, idx = np.frombuffer(r["d"][: 8 * len(ids)], np.int64), np.frombuffer(r["d"][8 * len(ids) :], np.uint16).astype(np.int64)
                 at = np.append(0, np.cumsum(_bits(n) // 8)).tolist()
                 parity = pa.array([r["e"][x:y] for x, y in itertools.pairwise(at)], pa.binary())
-                yield from rows(0, doc_id=pa.array(ids, mask=null), n_shingles=pa.array(n), digest=pa.array(digest), node=pa.array((r["chunk"] << 16) + idx), parity=parity)
-    while met:
-        _, parts = met.popitem()
-        for kind, found in enumerate(meetings(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), 1):
-            if len(found):
-                yield from rows(kind, node=pa.array(found[:, 0].copy()), other=pa.array(found[:, 1].copy()))
+                kind = pa.array(np.zeros(len(ids), np.int32))
+                yield from rows(len(ids), kind=kind, doc_id=pa.array(ids, mask=null), n_shingles=pa.array(n), digest=pa.array(digest), node=pa.array((r["chunk"] << 16) + idx), parity=parity)
+        all_found: list[list[np.ndarray]] = [[], []]
+        while met:
+            _, parts = met.popitem()
+            for k, found in enumerate(meetings(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))):
+                all_found[k].append(found)
+        for k, found in enumerate(all_found):
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            shard = (mix(pairs[:, 0].astype(U64)) % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            pairs, at = pairs[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            some = [i for i in range(shards) if at[i] < at[i + 1]]
+            blob = lambda c, some=some, pairs=pairs, at=at: pa.array([pairs[at[i] : at[i + 1], c].tobytes() for i in some], pa.binary())
+            if some:
+                yield from rows(len(some), kind=pa.array(np.full(len(some), k + 1, np.int32)), shard=pa.array(some, pa.int64()), a=blob(0), b=blob(1))
+
+    return run
+
+
+def _each_once(batches):
+    """The distinct pairs of the shards in a task, and whether a star made them."""
+    parts: list[tuple[int, np.ndarray]] = [(0, np.zeros((0, 2), np.int64))]
+    for batch in batches:
+        for r in batch.to_pylist():
+            parts.append((r["kind"], np.stack([np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)], axis=1)))
+    pairs, where = np.unique(np.concatenate([p for _, p in parts]), axis=0, return_inverse=True)
+    star = np.zeros(len(pairs), bool)
+    star[where.ravel()[np.repeat([k == 2 for k, _ in parts], [len(p) for _, p in parts])]] = True
+    for i in range(0, len(pairs), 50_000):
+        own = pairs[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(star[i : i + 50_000])], ["a", "b", "star"])
 
 
 def _possible(batches):
@@ -395,10 +422,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     buckets = 4 * n
     common = spark.sparkContext.broadcast(common_shingles(docs))  # 8 * COMMON bytes at most
-    found = scratch.save(_pack(docs, buckets, common).repartition(n, "bucket").mapInArrow(_unpack, _FOUND), "found")
+    found = scratch.save(_pack(docs, buckets, common).repartition(n, "bucket").mapInArrow(_unpack(n), _FOUND), "found")
     rows = found.filter("kind = 0").select("doc_id", "n_shingles", "digest", "node")
     names = found.filter("kind = 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("digest", "n_shingles", "parity")))
-    pairs = found.filter("kind > 0").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.max(F.col("kind") == 2).alias("star"))
+    pairs = found.filter("kind > 0").select("shard", "kind", "a", "b").repartition(n, "shard").mapInArrow(_each_once, "a long, b long, star boolean")
     for x in "ab":
         pairs = pairs.join(names.select(F.col("node").alias(x), F.col("digest").alias(f"d{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
     possible = pairs.filter("da <> db").select("star", "na", "nb", "pa", "pb", "da", "db").mapInArrow(_possible, "da long, db long")

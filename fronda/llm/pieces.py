@@ -44,6 +44,12 @@ CHUNK = 16_384
 RUN = 256
 MEMO = 250_000  # segments, twice
 LOW = -1e300
+U64 = np.uint64
+_BASE, _MULTIPLIER = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
+
+
+def _slot(h: int, bits: int) -> int:
+    return (h * _MULTIPLIER % (1 << 64)) >> (64 - bits)
 
 
 class Vocabulary:
@@ -62,6 +68,7 @@ class Vocabulary:
         self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}  # segments met lately
         self.old: dict[str, tuple[float, tuple[int, ...]]] = {}  # and before that
         self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._hashed: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -133,11 +140,96 @@ class Vocabulary:
             score, ids = self.path(s)
             found = (score, tuple(ids))
         if len(s) <= 64:
-            if len(self.memo) >= MEMO:
-                self.old, self.memo = self.memo, {}
-            self.memo[s] = found
+            self._keep(s, found)
         return found
 
+    def _lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Open-addressed table of piece hashes: keys, scores, ids, longest probe."""
+        if self._hashed is None:
+            bits = 20
+            keys, scores, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, LOW), np.zeros(1 << bits, np.int32)
+            probe = 1
+            for piece, (i, score) in self.pieces.items():
+                h = 0
+                for c in piece:
+                    h = (h * _BASE + ord(c)) % (1 << 64)
+                h, at, n = h | 1 << 63, _slot(h | 1 << 63, bits), 1
+                while keys[at % (1 << bits)]:
+                    at, n = at + 1, n + 1
+                at %= 1 << bits
+                keys[at], scores[at], ids[at], probe = h, score, i, max(probe, n)
+            self._hashed = (keys, scores, ids, probe)
+        return self._hashed
+
+    def prime(self, segments) -> None:
+        """Puts unseen segments into the memo, many at a time; gives what `segment` gives.
+
+        Segments stand in a matrix of code points; the path is found for all of
+        them position by position, pieces being looked up by rolling hash.
+        """
+        unseen = [s for s in set(segments) if len(s) <= 48 and s not in self.memo and s not in self.old]
+        keys, scores, ids, probe = self._lookup()
+        taken, lengths = keys > 0, {len(p) for p in self.pieces}
+        size, top = U64(len(keys) - 1), self.longest
+        for low, high in ((1, 8), (9, 14), (15, 22), (23, 48)):
+            group = [s for s in unseen if low <= len(s) <= high]
+            for a in range(0, len(group), 20_000):
+                part = group[a : a + 20_000]
+                n, width = len(part), high
+                codes = np.array(part, dtype=f"U{width}").view(np.uint32).reshape(n, width).astype(U64)
+                length = np.array([len(s) for s in part])
+                rolled = np.zeros((width + 1, n), U64)
+                for i in range(width):
+                    rolled[i + 1] = rolled[i] * U64(_BASE) + codes[:, i]
+                score = np.full((width + 1, n), LOW)
+                score[length, np.arange(n)] = 0.0
+                to, own = np.zeros((width, n), np.int64), np.zeros((width, n), np.int32)
+                known = np.ones(n, bool)
+                for i in range(width - 1, -1, -1):
+                    for k in range(i + 1, min(width, i + top) + 1):
+                        if k - i not in lengths:
+                            continue
+                        h = (rolled[k] - rolled[i] * U64(pow(_BASE, k - i, 1 << 64))) | U64(1 << 63)
+                        slot = (h * U64(_MULTIPLIER)) >> U64(64 - 20)
+                        maybe = np.flatnonzero(taken[slot] & (k <= length))
+                        h, slot = h[maybe], slot[maybe]
+                        hit = keys[slot] == h
+                        for p in range(1, probe):
+                            near = (slot + U64(p)) & size
+                            again = ~hit & (keys[near] == h)
+                            slot = np.where(again, near, slot)
+                            hit |= again
+                        maybe, slot = maybe[hit], slot[hit]
+                        if k == i + 1:
+                            alone = i >= length
+                            alone[maybe] = True
+                            known &= alone
+                        total = scores[slot] + score[k][maybe]
+                        better = (total >= score[i][maybe]) & (total > LOW / 2)
+                        maybe, slot = maybe[better], slot[better]
+                        score[i][maybe] = total[better]
+                        to[i][maybe] = k
+                        own[i][maybe] = ids[slot]
+                visited, cur, rows = np.zeros((n, width), bool), np.zeros(n, np.int64), np.arange(n)
+                for _ in range(width):
+                    going = cur < length
+                    if not going.any():
+                        break
+                    visited[rows[going], cur[going]] = True
+                    cur[going] = np.maximum(to[cur[going], rows[going]], cur[going] + 1)
+                flat = own.T[visited].tolist()
+                ends = np.cumsum(visited.sum(axis=1)).tolist()
+                first = 0
+                for s, end, total, ok in zip(part, ends, score[0].tolist(), known.tolist(), strict=True):
+                    if ok:  # a character without a piece is spelled in bytes, by `segment`
+                        self._keep(s, (total, tuple(flat[first:end])))
+                    first = end
+
+    def _keep(self, s: str, found: tuple[float, tuple[int, ...]]) -> None:
+        if len(self.memo) >= MEMO:
+            self.old, self.memo = self.memo, {}
+        self.memo[s] = found
+
     def whole(self, s: str, ids) -> float:
         """Appends the ids of `s`, which starts and ends where no piece can cross; its score."""
         total, memo = 0.0, self.memo
@@ -272,7 +364,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 ids, ends, score, crc = array("i"), [], [], []
-                for t in part.column("text").to_pylist():
+                texts = part.column("text").to_pylist()
+                v.prime(p for t in texts if t for p in v.segments.findall(" " + t))
+                for t in texts:
                     score.append(v.whole(" " + t, ids) if t else 0.0)
                     ends.append(len(ids))
                     crc.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
@@ -291,6 +385,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
     def matrices(batches):
         v = vocabulary.value
         for batch in batches:
+            v.prime(p for t in batch.column("text").to_pylist() for p in v.segments.findall(t))
             found = [v.matrix(t, size, last).ravel() for t, size, last in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "last")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(found, pa.list_(pa.float64()))], ["key", "chunk", "matrix"])
 
@@ -321,6 +416,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 ids, ends = array("i"), []
+                v.prime(p for t in part.column("text").to_pylist() for p in v.segments.findall(t))
                 for r in zip(*(part.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True):
                     ids.extend(v.trace(*r))
                     ends.append(len(ids))

@@ -170,6 +170,17 @@ def test_max_plus_scan_equals_viterbi(size):
         assert sum(score.get(i, v.byte_score) for i in ids) == pytest.approx(total[0, 0])
 
 
+def test_primed_segments_equal_single_ones():
+    rng = np.random.default_rng(3)
+    for v in (toy_vocabulary(), pieces.Vocabulary.load()):
+        segments = ["".join(rng.choice(list("aabcdethe réé\u4e00🙂"), rng.integers(1, 50))) for _ in range(400)] + [" ", "a", "\n", " the", " " * 30]
+        v.prime(segments)
+        assert v.memo
+        for s, found in v.memo.items():
+            score, ids = v.path(s)
+            assert found[1] == tuple(ids) and found[0] == score
+
+
 def test_encode_documents_round_trip(spark, docs, rows, empty):
     encoded = pieces.encode_documents(docs, chunk=512).persist()
     found = {r.doc_id: r for r in pieces.decode_documents(encoded).collect()}

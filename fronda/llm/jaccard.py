@@ -23,9 +23,9 @@ connected group of what is left is then resolved exactly on the sets themselves
 assumed.  Equal sets are one node throughout.
 
 Edge cases: a null or empty text has no shingles and links with nothing; a text
-with fewer words is one shingle; repeated rows are linked as equal sets; null
-doc_ids take part but never name a group unless all of its ids are null; extra
-columns are ignored; an empty table gives no rows.
+with fewer words is one shingle; repeated rows are linked as equal sets; rows
+with a null doc_id join equal sets only, and never name a group that has an id;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fronda.llm.common import Scratch
+from fronda.llm.common import Scratch, partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
@@ -422,16 +422,17 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
                     ends.append(len(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "doc_id", "text_crc32", "chunk", "score")), _lists(ids, ends)], ["key", "doc_id", "text_crc32", "chunk", "score", "ids"])
 
-    scratch = Scratch(spark)
+    scratch, tasks = Scratch(spark), partitions(spark)
+    # a stated number of partitions: by bytes alone few tasks would get all of this work
     chunks = scratch.save(
-        rows.filter(wide).withColumn("key", F.monotonically_increasing_id()).mapInArrow(split, "key long, doc_id long, text_crc32 long, chunk long, last boolean, text string, size long").repartition(F.col("key"), F.col("chunk")),
+        rows.filter(wide).withColumn("key", F.monotonically_increasing_id()).mapInArrow(split, "key long, doc_id long, text_crc32 long, chunk long, last boolean, text string, size long").repartition(tasks, "key", "chunk"),
         "chunks",
     )
     found = scratch.save(chunks.mapInArrow(matrices, "key long, chunk long, matrix array<double>"), "matrices").withColumn("run", F.floor(F.col("chunk") / RUN).cast("long"))
     runs = found.groupBy("key", "run").applyInPandas(run_product, "key long, run long, matrix array<double>")
     at_runs = runs.groupBy("key").applyInPandas(run_states, "key long, run long, entry long, leave long")
     at_chunks = found.join(at_runs, ["key", "run"]).groupBy("key", "run").applyInPandas(chunk_states, "key long, chunk long, entry long, leave long, score double")
-    traced = chunks.join(at_chunks, ["key", "chunk"]).select("key", "doc_id", "text_crc32", "chunk", "text", "size", "entry", "leave", "score").mapInArrow(trace, "key long, doc_id long, text_crc32 long, chunk long, score double, ids array<int>")
+    traced = chunks.join(at_chunks, ["key", "chunk"]).select("key", "doc_id", "text_crc32", "chunk", "text", "size", "entry", "leave", "score").repartition(tasks, "key", "chunk").mapInArrow(trace, "key long, doc_id long, text_crc32 long, chunk long, score double, ids array<int>")
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids", "score")))
     joined = traced.groupBy("key", "doc_id", "text_crc32").agg(parts.alias("parts"))
     long = joined.select("doc_id", "text_crc32", F.flatten(F.col("parts.ids")).alias("ids"), F.size("parts").cast("long").alias("n_chunks"), F.aggregate("parts.score", F.lit(0.0), lambda a, x: a + x).alias("score"))

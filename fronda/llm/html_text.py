@@ -168,7 +168,7 @@ def main_texts(pages: DataFrame, run: int = MIN_RUN) -> DataFrame:
                 text, rest, windows = [], [], []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     found = blocks(page or "")
-                    sure = any(m for _, m, _ in found)
+                    sure = any(m and not b for _, m, b in found)  # an article in comments or a sidebar is not the page's
                     text.append("\n\n".join(t for t, m, b in found if m and not b) if sure or all(b for _, _, b in found) else None)
                     rest.append([] if text[-1] is not None else [t for t, _, b in found if not b])
                     # a page's undecided text and, as evidence, what its structure already set aside

@@ -228,6 +228,13 @@ def test_host_runs_without_article(spark):
     assert found[9] == notice and found[20] == found[21] != ""
 
 
+def test_unwanted_articles_do_not_stand_for_the_page(spark):
+    story = "<div><p>The main text of this page stands in a div</p></div>"
+    rows = [(1, "http://c.d/1", story + '<section class="comments"><article><p>Reader one</p></article></section>'), (2, "http://c.e/2", "<aside><article>Teaser</article></aside>" + story)]
+    found = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in found} == {"The main text of this page stands in a div"}
+
+
 def brute_base(rows):
     counts = collections.Counter()
     for i, text, *_ in rows:

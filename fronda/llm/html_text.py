@@ -2,17 +2,19 @@
 
 A page is read tag by tag.  Scripts, styles, head, forms, and menus, headers,
 footers, sidebars, notices, adverts and reader comments (by element, or by
-words of class, id and role) are left out.  Text inside an article or main
-element is kept as it is: copies of whole articles on one host are common, so
-being repeated does not make an article's text boilerplate.
-
-For all other text the suffix array of the host decides.  Word streams of the
-host's pages stand in one sequence; suffixes are dealt by (host, their first
-MIN_RUN words) and those that meet a suffix of another page share a substring
-of MIN_RUN words or more with it.  The union of such prefixes is the union of
-all long substrings repeated across distinct pages, and sorting beyond MIN_RUN
-words is not needed for it, so no host is gathered in one task.  Covered runs
-are removed; unique runs are kept.
+words of class, id and role) are left out.  On a page with an article or main
+element that is not itself left out, text outside such elements goes too.
+
+On every page the host then decides on the text that is left.  Its distinct
+texts (pages of equal words are one text, so copies of a page do not delete each
+other) are compared by their suffixes cut to MIN_RUN words: a window of MIN_RUN
+words shared by texts is the start of a shared suffix, and the union of such
+windows is the union of all longer shared substrings, so no suffix array or LCP
+is built; hashes of the windows stand in for it.  A run is boilerplate if its
+windows are in MIN_TEXTS of the host's texts and in one of SHARE of them, at
+least: fewer pages cannot tell a notice from a quotation, a near copy of an
+article or a common phrase.  Covered words go, all others stay.  Text that the
+structure has left out is no evidence: sidebars name other pages' headings.
 
 Edge cases: null or empty html gives empty text; a null url is a host of its
 own; character references without a meaning stay as they are; unclosed elements
@@ -28,6 +30,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from fronda.llm import common as C
 from fronda.llm.common import Scratch
 
 MIN_RUN = 6
+MIN_TEXTS, SHARE = 3, 3  # a boilerplate run is in three of a host's distinct texts and in a third of them, at least
+GROUP = 512
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -141,6 +146,22 @@ def stream_windows(texts: list[str], host: str, run: int) -> np.ndarray:
     return C.mix(C.window_hashes(C.word_hashes(data, starts, ends), at, run)[0] ^ seed).view(np.int64)
 
 
+def _content(texts: list[str], host: str) -> int:
+    """Hash of a page's host and words."""
+    data = np.frombuffer(f"{host} {' '.join(' '.join(texts).split())}".encode("utf-8", "surrogatepass"), np.uint8)
+    return int(C.word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
+
+
+def _pack(texts: list[str]) -> bytes:
+    """Blocks, which hold no line ends, zipped: two thirds of what a shuffle makes of them."""
+    return zstandard.ZstdCompressor(level=1).compress("\n".join(texts).encode())
+
+
+def _unpack(data: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(data).decode()
+    return text.split("\n") if text else []
+
+
 def unique_runs(texts: list[str], windows: np.ndarray, repeated: set[int], run: int) -> list[str]:
     """`texts` without the words that a repeated window covers; emptied blocks go."""
     words = [[w for w in re.split(r"[ \t-\r]+", t) if w] for t in texts]
@@ -156,43 +177,110 @@ def unique_runs(texts: list[str], windows: np.ndarray, repeated: set[int], run:
     return out
 
 
-def main_texts(pages: DataFrame, run: int = MIN_RUN) -> DataFrame:
+def need(texts: int) -> int:
+    """How many of a host's distinct texts a window of a boilerplate run is in, at least."""
+    return max(MIN_TEXTS, -(-texts // SHARE))
+
+
+def _by_key(batches, *keys: str):
+    """Runs of rows with equal keys, from batches sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if held and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _counts(rows: list[dict], host: str, run: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Distinct texts, their windows, and how many of the texts each window is in."""
+    own = {r["content"]: r["packed"] for r in rows}
+    windows = [np.unique(stream_windows(_unpack(packed), host, run)) for packed in own.values()]
+    return len(own), *np.unique(np.concatenate(windows), return_counts=True)
+
+
+def boilerplate(texts: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> DataFrame:
+    """host and the windows of its boilerplate runs; texts: host, content (hash of a page's words) and packed blocks, repeats allowed.
+
+    The texts of a host are dealt to groups of about `group` by content.  A window
+    in a share of all texts is in that share of the texts of some group, so groups
+    name candidates, and counts of candidates are summed over the groups.
+    """
+    scratch = Scratch(texts.sparkSession)
+    big = texts.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > group)
+    big = scratch.save(big.select("host", F.ceil(F.col("n") / group).cast("long").alias("groups")), "big")
+    # one row for each `group` texts of the table at most
+    dealt = texts.join(F.broadcast(big), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("group", F.pmod("content", "groups"))
+
+    def name(batches):
+        for (host, _), rows in _by_key(batches, "host", "group"):
+            n, windows, counts = _counts(rows, host, run)
+            alone = rows[0]["groups"] == 1
+            keep = counts >= (need(n) if alone else -(-n // SHARE))
+            yield pa.RecordBatch.from_pydict({"host": [host], "alone": [alone], "texts": pa.array([n], pa.int64()), "windows": pa.array([windows[keep]], pa.list_(pa.int64()))})
+
+    def sort(df: DataFrame) -> DataFrame:
+        return df.repartition("host", "group").sortWithinPartitions("host", "group")
+
+    named = scratch.save(sort(dealt).mapInArrow(name, "host string, alone boolean, texts long, windows array<long>"), "named")
+    asked = scratch.save(named.filter("NOT alone").select("host", F.explode("windows").alias("w")).groupBy("host").agg(F.collect_set("w").alias("asked")), "asked")
+    # texts are dealt again only for hosts with candidates
+    again = dealt.filter("groups > 1").join(F.broadcast(asked.select("host")), "host", "left_semi")
+    sizes = named.filter("NOT alone").groupBy("host").agg(F.sum("texts").alias("texts"))
+    # one copy of a host's candidates for each of its groups
+    asked = big.select("host", "groups").join(asked, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "asked")
+
+    def count(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        host, wanted = key[0].as_py(), right.column("asked").to_pylist()
+        _, windows, counts = _counts(left.to_pylist(), host, run) if left.num_rows and wanted else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        keep = np.isin(windows, np.array(wanted[0] if wanted else [], np.int64))
+        return pa.table({"host": pa.array([host] * int(keep.sum()), pa.string()), "w": pa.array(windows[keep], pa.int64()), "n": pa.array(counts[keep], pa.int64())})
+
+    met = again.groupBy("host", "group").cogroup(asked.groupBy("host", "group")).applyInArrow(count, "host string, w long, n long")
+    least = F.greatest(F.lit(MIN_TEXTS), F.ceil(F.col("texts") / SHARE))
+    summed = met.groupBy("host", "w").agg(F.sum("n").alias("n")).join(sizes, "host").filter(F.col("n") >= least).groupBy("host").agg(F.collect_list("w").alias("windows"))
+    return named.filter("alone AND size(windows) > 0").select("host", "windows").unionByName(summed)
+
+
+def main_texts(pages: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> DataFrame:
     """page_id, url and main text of every row."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
 
     def parse(batches):
+        met: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                text, rest, windows = [], [], []
+                hosts, kept, contents, first = [], [], [], []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     found = blocks(page or "")
                     sure = any(m and not b for _, m, b in found)  # an article in comments or a sidebar is not the page's
-                    text.append("\n\n".join(t for t, m, b in found if m and not b) if sure or all(b for _, _, b in found) else None)
-                    rest.append([] if text[-1] is not None else [t for t, _, b in found if not b])
-                    # a page's undecided text and, as evidence, what its structure already set aside
-                    windows.append(np.unique(np.concatenate([stream_windows(rest[-1], host_of(url), run), stream_windows([t for t, m, b in found if b or (sure and not m)], host_of(url), run)])))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("page", "page_id", "url")), pa.array(text, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(windows, pa.list_(pa.int64()))], ["page", "page_id", "url", "text", "rest", "windows"]
-                )
+                    hosts.append(host_of(url))
+                    kept.append([t for t, m, b in found if not b and (m or not sure)])
+                    contents.append(_content(kept[-1], hosts[-1]))
+                    # a task sends a text that it meets many times to be counted once
+                    first.append(bool(kept[-1]) and contents[-1] not in met)
+                    met.add(contents[-1])
+                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "host": pa.array(hosts, pa.string()), "packed": pa.array(map(_pack, kept), pa.binary()), "content": pa.array(contents, pa.int64()), "first": pa.array(first, pa.bool_())})
 
     def finish(batches):
         for batch in batches:
             out = []
-            for url, rest, hits in zip(*(batch.column(c).to_pylist() for c in ("url", "rest", "hits")), strict=True):
-                out.append("\n\n".join(unique_runs(rest, stream_windows(rest, host_of(url), run), set(hits or []), run)))
+            for host, packed, windows in zip(*(batch.column(c).to_pylist() for c in ("host", "packed", "windows")), strict=True):
+                own = _unpack(packed)
+                out.append("\n\n".join(unique_runs(own, stream_windows(own, host, run), set(windows), run) if windows else own))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    key = F.xxhash64(F.col("page_id"), F.col("url"), F.col("html"))
-    parsed = scratch.save(rows.withColumn("page", key).mapInArrow(parse, "page long, page_id long, url string, text string, rest array<string>, windows array<long>"), "parsed")
-    open_pages = parsed.filter(F.col("text").isNull())
-    suffixes = parsed.select("page", F.explode("windows").alias("prefix"))
-    shared = suffixes.groupBy("prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter(F.col("a") != F.col("b")).select("prefix")
-    hits = open_pages.select("page", F.explode("windows").alias("prefix")).join(shared, "prefix").groupBy("page").agg(F.collect_set("prefix").alias("hits"))
-    undecided = open_pages.join(hits, "page", "left").select("page_id", "url", "rest", "hits").mapInArrow(finish, "page_id long, url string, text string")
-    return parsed.filter(F.col("text").isNotNull()).select("page_id", "url", "text").unionByName(undecided)
+    parsed = scratch.save(rows.mapInArrow(parse, "page_id long, url string, host string, packed binary, content long, first boolean"), "parsed")
+    found = scratch.save(boilerplate(parsed.filter("first").select("host", "content", "packed"), run, group), "boilerplate")
+    return parsed.join(found, "host", "left").select("page_id", "url", "host", "packed", "windows").mapInArrow(finish, "page_id long, url string, text string")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,19 @@ def test_unwanted_articles_do_not_stand_for_the_page(spark):
     assert {r.text for r in found} == {"The main text of this page stands in a div"}
 
 
+def own_words(k, n=20):
+    return " ".join(f"w{k}x{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_host_runs_in_articles(spark, group):
+    notice = "Follow us on all the networks for more of this"
+    pages = [(k, "http://i.j/", f"<article><p>{own_words(k)}</p><p>{notice}</p></article>") for k in range(7)]
+    copies = [(10 + k, "http://i.j/", f"<article><p>{own_words(99)}</p></article>") for k in range(5)]
+    found = html_text.main_texts(spark.createDataFrame([*pages, *copies], "page_id long, url string, html string"), group=group).collect()
+    same([(r.page_id, r.text) for r in found], [(k, own_words(k)) for k in range(7)] + [(10 + k, own_words(99)) for k in range(5)])
+
+
 def brute_base(rows):
     counts = collections.Counter()
     for i, text, *_ in rows:

@@ -248,6 +248,16 @@ def test_host_runs_in_articles(spark, group):
     same([(r.page_id, r.text) for r in found], [(k, own_words(k)) for k in range(7)] + [(10 + k, own_words(99)) for k in range(5)])
 
 
+def test_host_runs_keep_copies_and_quotations(spark):
+    quote = "all that is gold does not glitter said the old song"
+    rows = [(k, "http://k.l/", f"<div><p>{own_words(k)} {quote if k < 2 else ''} {own_words(50 + k)}</p></div>") for k in range(8)]
+    rows += [(20 + k, "http://m.n/", f"<p>{own_words(77)}</p>") for k in range(2)]
+    found = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[20] == found[21] == own_words(77)
+    for k in range(8):
+        assert found[k] == " ".join(f"{own_words(k)} {quote if k < 2 else ''} {own_words(50 + k)}".split())
+
+
 def brute_base(rows):
     counts = collections.Counter()
     for i, text, *_ in rows:

@@ -9,13 +9,15 @@ Classes come from exchange clustering.  All training bigrams, counted over the
 whole corpus, are stored by their second word.  In each round a worker tries
 every class for each of its words, with the word's own counts taken out of the
 class it is in, and moves the word to the class of the largest likelihood; half
-of the words may move in a round, since all workers move at once.  So that the
-class map has a fixed size (1 << SLOT_BITS bytes), words share it by hash: words
-in one slot share a class.  Counts and emissions are by word, without sharing.
+of the words may move in a round, since all workers move at once.  Every training
+word has a class of its own: words are numbered without gaps in the order of their
+hashes (place in the hash range, plus the words of the ranges before), and the class
+map, one byte a distinct training word, grows with the vocabulary.
 
 Texts are read once, into packed chunks of word codes.  Counts of a chunk's
-distinct words are exchanged by hash range: no vocabulary is ever broadcast or
-collected.  Words are known by a 64-bit hash of their bytes.
+distinct words are exchanged by hash range: no words, hashes or counts are ever
+broadcast or collected, only the classes.  Words are known by a 64-bit hash of
+their bytes, and there may be fewer than 2 ** 32 of them.
 
 Edge cases: a null or empty text is one end token; null doc_ids belong to the
 fold of the empty text; ties between classes go to the lower number; repeated
@@ -40,12 +42,11 @@ from fronda.llm.common import U64, Scratch, partitions
 FOLDS = 10
 CLASSES = 64
 ROUNDS = 6
-SLOT_BITS = 22
 CHUNK_WORDS = 1 << 20
 SMOOTH = 50.0
 END, UNKNOWN, N_CLASSES = CLASSES, CLASSES + 1, CLASSES + 2
-END_SLOT = 1 << SLOT_BITS
 TREE = 16
+END_SLOT = 1 << 22  # the end in class maps made by hand; score_texts numbers it after the words
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -121,7 +122,7 @@ def _range_of(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def count_words(chunks: DataFrame, buckets: int, n: int) -> DataFrame:
-    """For each chunk and hash range, the corpus counts of the chunk's words; for each range (chunk null) its totals and most frequent words."""
+    """For each chunk and hash range, the corpus counts of the chunk's words and their places among the range's training words; for each range (chunk null) its totals and the places of its most frequent words."""
 
     def ask(batches):
         for batch in batches:
@@ -144,23 +145,33 @@ def count_words(chunks: DataFrame, buckets: int, n: int) -> DataFrame:
             keys = [_keys(p[1]) for p in parts]
             words, where = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(where, np.concatenate([_unzip(p[2], np.int64) for p in parts]).astype(float), len(words)).astype(np.int64)
+            place = np.cumsum(total > 0) - (total > 0)
             top = np.argsort(-total, kind="stable")[:CLASSES]
-            yield pa.RecordBatch.from_arrays([none, pa.array([bucket]), pa.nulls(1, pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())]), pa.array([int((total == 1).sum())]), pa.array([words[top].tobytes()], pa.binary()), pa.array([total[top].tobytes()], pa.binary())], _COUNTED)
+            top = top[total[top] > 0]
+            yield pa.RecordBatch.from_arrays([none, pa.array([bucket]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())]), pa.array([int((total == 1).sum())]), pa.array([place[top].astype(U64).tobytes()], pa.binary()), pa.array([total[top].tobytes()], pa.binary())], _COUNTED)
             at = 0
             for (chunk, _, _), own in zip(parts, keys, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([_zip(total[where[at : at + len(own)]])], pa.binary()), none, none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], _COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([_zip(total[where[at : at + len(own)]])], pa.binary()), pa.array([_delta(place[where[at : at + len(own)]].astype(U64))], pa.binary()), none, none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], _COUNTED)
                 at += len(own)
 
     asked = chunks.select("chunk", "words", "counts").mapInArrow(ask, "bucket long, chunk long, words binary, counts binary")
-    return asked.repartition(n, "bucket").mapInArrow(answer, "chunk long, bucket long, counts binary, tokens long, types long, single long, top_words binary, top_counts binary")
+    return asked.repartition(n, "bucket").mapInArrow(answer, "chunk long, bucket long, counts binary, places binary, tokens long, types long, single long, top_places binary, top_counts binary")
 
 
-_COUNTED = ["chunk", "bucket", "counts", "tokens", "types", "single", "top_words", "top_counts"]
+_COUNTED = ["chunk", "bucket", "counts", "places", "tokens", "types", "single", "top_places", "top_counts"]
 
 
-def count_bigrams(chunks: DataFrame, buckets: int, n: int) -> DataFrame:
-    """Training bigrams by slot of the second word: keys second << 23 | first, and counts, for each range of second slots."""
-    shift = U64(64 - SLOT_BITS)
+def _answers(rows: list[dict], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts and numbers of a chunk's words, in their order; first: number of each range's first word."""
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    known = np.concatenate([_unzip(r["counts"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+    numbers = np.concatenate([_keys(r["places"]).astype(np.int64) + first[r["bucket"]] for r in rows] or [np.zeros(0, np.int64)])
+    return known, numbers
+
+
+def count_bigrams(chunks: DataFrame, answers: DataFrame, first: np.ndarray, buckets: int, n: int) -> DataFrame:
+    """Training bigrams by number of the second word: keys second << 32 | first, and counts, for each range of numbers; the end comes after the words."""
+    end = int(first[-1])
 
     def merged(keys, counts):
         order = np.argsort(keys, kind="stable")
@@ -168,28 +179,28 @@ def count_bigrams(chunks: DataFrame, buckets: int, n: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
-    def ask(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                slots = (_keys(r["words"]) >> shift)[_unzip(r["codes"], np.uint32)]
-                at, train = _unzip(r["at"], np.int64), np.frombuffer(r["train"], np.uint8).astype(bool)
-                sizes = np.diff(at)
-                # every text with an end before and after it
-                line = np.full(at[-1] + 2 * len(sizes), U64(END_SLOT))
-                place = np.arange(at[-1]) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1
-                line[place] = slots
-                use = np.ones(len(line), bool)
-                begin = at[:-1] + 2 * np.arange(len(sizes))
-                use[begin] = False
-                use &= np.repeat(train, sizes + 2)
-                second = np.flatnonzero(use)
-                keys, counts = np.unique((line[second] << U64(SLOT_BITS + 1)) | line[second - 1], return_counts=True)
-                edge = np.searchsorted(keys, [((b << SLOT_BITS) + buckets - 1) // buckets << (SLOT_BITS + 1) for b in range(buckets)])
-                edge = np.append(edge, len(keys))
-                some = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-                for i in range(0, len(some), 64):
-                    own = some[i : i + 64]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "keys": [_delta(keys[edge[b] : edge[b + 1]]) for b in own], "counts": [_zip(counts[edge[b] : edge[b + 1]].astype(np.int64)) for b in own]})
+    bounds = [(b * (end + 1) + buckets - 1) // buckets << 32 for b in range(buckets)]
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        numbers = _answers(right.to_pylist(), first)[1].astype(U64)
+        for r in left.to_pylist():
+            at, train = _unzip(r["at"], np.int64), np.frombuffer(r["train"], np.uint8).astype(bool)
+            sizes = np.diff(at)
+            # every text with an end before and after it
+            line = np.full(at[-1] + 2 * len(sizes), U64(end))
+            place = np.arange(at[-1]) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1
+            line[place] = numbers[_unzip(r["codes"], np.uint32)]
+            use = np.ones(len(line), bool)
+            begin = at[:-1] + 2 * np.arange(len(sizes))
+            use[begin] = False
+            use &= np.repeat(train, sizes + 2)
+            second = np.flatnonzero(use)
+            keys, counts = np.unique((line[second] << U64(32)) | line[second - 1], return_counts=True)
+            edge = np.append(np.searchsorted(keys, np.array(bounds, U64)), len(keys))
+            own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+            out.append(pa.table({"bucket": pa.array(own, pa.int64()), "keys": pa.array([_delta(keys[edge[b] : edge[b + 1]]) for b in own], pa.binary()), "counts": pa.array([_zip(counts[edge[b] : edge[b + 1]].astype(np.int64)) for b in own], pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
     def join(batches):
         met: dict[int, list] = {}
@@ -201,21 +212,21 @@ def count_bigrams(chunks: DataFrame, buckets: int, n: int) -> DataFrame:
             keys, counts = merged(np.concatenate([_keys(p[0]) for p in parts]), np.concatenate([_unzip(p[1], np.int64) for p in parts]))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "keys": [_delta(keys)], "counts": [_zip(counts)]})
 
-    asked = chunks.select("train", "at", "words", "codes").mapInArrow(ask, "bucket long, keys binary, counts binary")
+    asked = chunks.select("chunk", "train", "at", "codes").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "counts", "places").groupBy("chunk")).applyInArrow(ask, "bucket long, keys binary, counts binary")
     return asked.repartition(n, "bucket").mapInArrow(join, "bucket long, keys binary, counts binary")
 
 
 def contexts(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Second slots, and how often each class precedes each of them."""
-    second, first = keys >> U64(SLOT_BITS + 1), keys & U64((1 << (SLOT_BITS + 1)) - 1)
-    slots, row = np.unique(second, return_inverse=True)
+    """Second words, and how often each class precedes each of them."""
+    second, first = keys >> U64(32), keys & U64((1 << 32) - 1)
+    words, row = np.unique(second, return_inverse=True)
     cell = row * N_CLASSES + classes[first.astype(np.int64)]
-    return slots.astype(np.int64), np.bincount(cell, counts.astype(float), len(slots) * N_CLASSES).reshape(-1, N_CLASSES)
+    return words.astype(np.int64), np.bincount(cell, counts.astype(float), len(words) * N_CLASSES).reshape(-1, N_CLASSES)
 
 
-def exchange(slots: np.ndarray, seen: np.ndarray, classes: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
-    """Best class of each slot; seen: its class contexts; table[c, b]: how often class b follows class c."""
-    now = classes[slots].astype(np.int64)
+def exchange(words: np.ndarray, seen: np.ndarray, classes: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
+    """Best class of each word; seen: its class contexts; table[c, b]: how often class b follows class c."""
+    now = classes[words].astype(np.int64)
     own = seen.sum(axis=1)
     size = table.sum(axis=0)
     score = seen @ np.log(table[:, :CLASSES] + 0.5) - own[:, None] * np.log(size[:CLASSES] + 0.5 * N_CLASSES)
@@ -224,26 +235,25 @@ def exchange(slots: np.ndarray, seen: np.ndarray, classes: np.ndarray, table: np
     without = np.maximum(table[:, now[rows]].T - seen[rows], 0)
     score[rows, now[rows]] = (seen[rows] * np.log(without + 0.5)).sum(axis=1) - own[rows] * np.log(np.maximum(size[now[rows]] - own[rows], 0) + 0.5 * N_CLASSES)
     best = score.argmax(axis=1)
-    stay = (now >= CLASSES) | ((slots * 0x9E3779B1 >> 7) % 2 != turn % 2)
+    stay = (now >= CLASSES) | ((words * 0x9E3779B1 >> 7) % 2 != turn % 2)
     return np.where(stay, now, best).astype(np.uint8)
 
 
-def cluster(bigrams: DataFrame, top: list[int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every slot and the table of class transitions; top: the most frequent word hashes."""
+def cluster(bigrams: DataFrame, end: int, top: list[int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every training word and of the end, and the table of class transitions; end: how many words; top: numbers of the most frequent."""
     context = bigrams.sparkSession.sparkContext
-    classes = (C.mix(np.arange(END_SLOT + 1, dtype=U64)) % U64(CLASSES)).astype(np.uint8)
-    for k, h in enumerate(top[:CLASSES]):
-        classes[h >> (64 - SLOT_BITS)] = k
-    classes[END_SLOT] = END
+    classes = (C.mix(np.arange(end + 1, dtype=U64)) % U64(CLASSES)).astype(np.uint8)
+    classes[top[:CLASSES]] = np.arange(min(len(top), CLASSES))
+    classes[end] = END
 
     def count(shared) -> np.ndarray:
         def run(batches):
             total, part = np.zeros((N_CLASSES, N_CLASSES)), TaskContext.get().partitionId()
             for batch in batches:
                 for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    slots, seen = contexts(_keys(keys), _unzip(counts, np.int64), shared.value)
-                    for k in np.unique(shared.value[slots]):
-                        total[:, k] += seen[shared.value[slots] == k].sum(axis=0)
+                    words, seen = contexts(_keys(keys), _unzip(counts, np.int64), shared.value)
+                    for k in np.unique(shared.value[words]):
+                        total[:, k] += seen[shared.value[words] == k].sum(axis=0)
             yield pa.RecordBatch.from_pydict({"at": pa.array([part % TREE], pa.int64()), "table": pa.array([total.ravel()], pa.list_(pa.float64()))})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,14 +267,14 @@ def cluster(bigrams: DataFrame, top: list[int], rounds: int = ROUNDS) -> tuple[n
         def run(batches):
             for batch in batches:
                 for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
-                    slots, seen = contexts(_keys(keys), _unzip(counts, np.int64), shared.value)
-                    new = exchange(slots, seen, shared.value, table, turn)
-                    moved = new != shared.value[slots]
-                    yield pa.RecordBatch.from_pydict({"slots": [slots[moved].astype(np.uint32).tobytes()], "classes": [new[moved].tobytes()]})
+                    words, seen = contexts(_keys(keys), _unzip(counts, np.int64), shared.value)
+                    # every word is the second of some bigram, so a range has no gaps
+                    yield pa.RecordBatch.from_pydict({"first": pa.array([words[0]], pa.int64()), "classes": [_zip(exchange(words, seen, shared.value, table, turn))]})
 
-        # at most 5 bytes a slot reach the driver
-        for r in bigrams.mapInArrow(run, "slots binary, classes binary").collect():
-            classes[np.frombuffer(r["slots"], np.uint32)] = np.frombuffer(r["classes"], np.uint8)
+        # at most a byte a word reaches the driver
+        for r in bigrams.mapInArrow(run, "first long, classes binary").collect():
+            new = _unzip(r["classes"], np.uint8)
+            classes[r["first"] : r["first"] + len(new)] = new
 
     for turn in range(rounds):
         shared = context.broadcast(classes.copy())
@@ -296,32 +306,39 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     n = partitions(spark)
     chunks = scratch.save(encode(docs), "chunks")
-    counted = scratch.save(count_words(chunks, 2 * n, n), "counted")
+    buckets = 2 * n
+    counted = scratch.save(count_words(chunks, buckets, n), "counted")
     totals = counted.filter(F.col("chunk").isNull()).agg(F.sum("tokens"), F.sum("types"), F.sum("single")).first()
-    tops = counted.filter(F.col("chunk").isNull()).select("top_words", "top_counts")
+    tops = counted.filter(F.col("chunk").isNull()).select("bucket", "types", "top_places", "top_counts").collect()  # CLASSES words a hash range
+    in_range = np.zeros(buckets + 1, np.int64)
+    for r in tops:
+        in_range[r["bucket"] + 1] = r["types"]
+    first = np.cumsum(in_range)
+    if first[-1] >= 1 << 32:
+        raise ValueError("more distinct words than 32 bits can number")
     best: list[tuple[int, int]] = []
-    for r in tops.collect():  # CLASSES words a hash range
-        best += [(-int(c), int(w)) for w, c in zip(np.frombuffer(r["top_words"], U64), np.frombuffer(r["top_counts"], np.int64), strict=True)]
+    for r in tops:
+        best += [(-int(c), int(w) + int(first[r["bucket"]])) for w, c in zip(np.frombuffer(r["top_places"], U64), np.frombuffer(r["top_counts"], np.int64), strict=True)]
         best = sorted(best)[:CLASSES]
     ends = docs.select((C.fold(F.col("doc_id").cast("long"), FOLDS) != 0).cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0
     tokens, types, single = (int(v or 0) for v in totals)
     tokens, types = tokens + ends, types + (ends > 0)
-    bigrams = scratch.save(count_bigrams(chunks, max(64, 2 * n), n), "bigrams")
-    classes, table = cluster(bigrams, [w for _, w in best])
+    answers = counted.filter(F.col("chunk").isNotNull()).select("chunk", "bucket", "counts", "places")
+    bigrams = scratch.save(count_bigrams(chunks, answers, first, max(64, 2 * n), n), "bigrams")
+    classes, table = cluster(bigrams, int(first[-1]), [w for _, w in best])
     scratch.drop("bigrams")
     unknown = (single + 0.5) / (tokens + 1) if tokens else 1.0
     step = transitions(table)
     size = table.sum(axis=0)
-    shared = spark.sparkContext.broadcast(classes)  # one byte a slot
+    shared = spark.sparkContext.broadcast(classes)  # one byte a distinct training word
     below = tokens + 0.1 * (types + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        counts = {r["bucket"]: r["counts"] for r in right.to_pylist()}
-        known = np.concatenate([_unzip(counts[b], np.int64) for b in sorted(counts)] or [np.zeros(0, np.int64)])
+        known, numbers = _answers(right.to_pylist(), first)
         for r in left.to_pylist():
-            words, codes, at = _keys(r["words"]), _unzip(r["codes"], np.uint32), _unzip(r["at"], np.int64)
-            kind = np.where(known > 0, shared.value[(words >> U64(64 - SLOT_BITS)).astype(np.int64)], UNKNOWN).astype(np.int64)
+            codes, at = _unzip(r["codes"], np.uint32), _unzip(r["at"], np.int64)
+            kind = np.where(known > 0, shared.value[numbers], UNKNOWN).astype(np.int64)
             with np.errstate(divide="ignore"):
                 emit = np.where(known > 0, np.log10((1 - unknown) * np.maximum(known, 1) / np.maximum(size[kind], 1)), np.log10(unknown))
             base = np.log10((known + 0.1) / below)
@@ -343,8 +360,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             out.append(pa.table([ids, pa.array(sizes + 1), pa.array(own), pa.array(sums(base[codes]) + np.log10((ends + 0.1) / below)), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    answers = counted.filter(F.col("chunk").isNotNull()).select("chunk", "bucket", "counts")
-    scored = chunks.select("chunk", "ids", "nulls", "at", "words", "codes").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
+    scored = chunks.select("chunk", "ids", "nulls", "at", "codes").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

@@ -322,3 +322,21 @@ def test_chunks_are_whole(spark, docs, rows, monkeypatch):
 def test_crc_is_of_the_utf8_text(spark):
     r = pieces.encode_documents(spark.createDataFrame([(1, "é x")], "doc_id long, text string")).first()
     assert r.text_crc32 == zlib.crc32("é x".encode())
+
+
+def test_words_of_near_hashes_have_classes_of_their_own(spark, monkeypatch):
+    cluster = brown.cluster
+    # without rounds each of the most frequent words keeps the class it starts in
+    monkeypatch.setattr(brown, "cluster", lambda *args: cluster(*args, rounds=0))
+    names = [f"n{i}" for i in range(20000)]
+    blob, ends = "".join(names).encode(), np.cumsum([len(w) for w in names])
+    top = common.word_hashes(np.frombuffer(blob, np.uint8), ends - [len(w) for w in names], ends) >> np.uint64(42)
+    order = np.argsort(top, kind="stable")
+    twin = int(np.flatnonzero(top[order][1:] == top[order][:-1])[0])
+    x, y = names[order[twin]], names[order[twin + 1]]
+    pairs = [(f"p{k % 5}", x) if k % 2 else (f"q{k % 5}", y) for k in range(600)]
+    train = [i for i in range(2000) if data.fold(i, 10)][:600]
+    held = [i for i in range(2000) if not data.fold(i, 10)][:2]
+    rows = [(i, " ".join(pair)) for i, pair in zip(train, pairs, strict=True)] + [(held[0], f"p1 {x}"), (held[1], f"p1 {y}")]
+    scores = {r.doc_id: r.score for r in brown.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert scores[held[0]] > scores[held[1]]

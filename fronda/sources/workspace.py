@@ -71,17 +71,28 @@ def _rule(line: str, folder: str) -> tuple[str, bool] | None:
     return f"^{prefix}{'' if anchored else '(?:.*/)?'}{out}{'/' if below else '(?:/|$)'}", back
 
 
-def _hidden(spark: SparkSession, root: str, pattern: str, depth: int = 8) -> list[tuple[str, object]]:
-    """(relative path, status) of files that Spark's own listing passes over because their names start with . or _."""
+def _walk(spark: SparkSession, root: str, keep: tuple[str, ...] = ()) -> tuple[list[tuple[str, object]], list[str]]:
+    """What Spark's own listing passes over, at any depth: (relative path, status) of files whose names start with . or _, and folders whose names start with _.
+
+    Folders that a scan never enters are not entered here.
+    """
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    top = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toString().rstrip("/")
-    found = []
-    for k in range(depth):
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{top}{'/*' * k}/{pattern}")) or []:
-            if status.isFile():
-                found.append((status.getPath().toString()[len(top) + 1 :], status))
-    return sorted(found, key=lambda f: f[0])
+    top = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root))
+    size = len(top.toString().rstrip("/")) + 1
+    files, folders, todo = [], [], [top.toString()]
+    while todo:
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(todo.pop())):
+            # one call for both
+            path, folder = re.search(r"\{path=(.+?); isDirectory=(true|false); ", status.toString(), re.S).groups()
+            name = path.rpartition("/")[2]
+            if folder == "true":
+                if not name.startswith(".") and (name in keep or name not in IGNORED_DIRS):
+                    todo.append(path)
+                    folders += [path] if name.startswith("_") else []
+            elif name[0] in "._":
+                files.append((path[size:], status))
+    return sorted(files, key=lambda f: f[0]), sorted(folders)
 
 
 def _read(spark: SparkSession, status) -> bytes:
@@ -96,11 +107,10 @@ def _read(spark: SparkSession, status) -> bytes:
 def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[tuple[str, bool]]:
     """Rules of the ignore files in the tree, outer folders first."""
     found = []
-    for name in names:
-        for path, status in _hidden(spark, root, name):
-            folder = path.rpartition("/")[0]
-            if not any(p in IGNORED_DIRS for p in folder.split("/")):
-                found += [((folder.count("/") + bool(folder), folder, k), rule) for k, line in enumerate(_read(spark, status).decode("utf-8", "replace").split("\n")) if (rule := _rule(line, folder))]
+    for path, status in _walk(spark, root)[0]:
+        folder, _, name = path.rpartition("/")
+        if name in names:
+            found += [((folder.count("/") + bool(folder), folder, k), rule) for k, line in enumerate(_read(spark, status).decode("utf-8", "replace").split("\n")) if (rule := _rule(line, folder))]
     return [rule for _, rule in sorted(found)]
 
 
@@ -127,10 +137,13 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, respe
     """(path, hash, mtime, size, config, content) of every collected file, contents up to MAX_BYTES."""
     rules = ignore_rules(spark, root) if respect_ignore_files else []
     wanted = "(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= MAX_BYTES)
+    hidden, folders = _walk(spark, root, keep)
+    # Spark enters a folder with a leading underscore only if it is named, and takes names for patterns
+    named = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in folders]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *named]).filter(F.col("length") <= MAX_BYTES)
     rows = files.select(relative(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    # names with a leading underscore are few and are read by the driver
-    odd = [(path, status) for path, status in _hidden(spark, root, "_*") if re.search(wanted, path) and status.getLen() <= MAX_BYTES]
+    # files with a leading underscore or dot are few and are read by the driver
+    odd = [(path, status) for path, status in hidden if re.search(wanted, path) and status.getLen() <= MAX_BYTES]
     if odd:
         extra = spark.createDataFrame([(p, s.getModificationTime() / 1000.0, s.getLen(), bytearray(_read(spark, s))) for p, s in odd], "path string, mtime double, size long, content binary")
         rows = rows.unionByName(extra.withColumn("mtime", F.timestamp_seconds("mtime")))

@@ -189,3 +189,13 @@ def test_stream_equals_batch(spark, tmp_path):
     # windows that the watermark has not passed are still open
     assert {(r.start, r.tool, r.calls, r.errors, r.slow) for r in got} <= {(r.start, r.tool, r.calls, r.errors, r.slow) for r in batch}
     assert got and all(r.end < last for r in got)
+
+
+def test_underscore_folders_and_deep_folders(spark, tmp_path):
+    deep = "/".join(f"f{k}" for k in range(10))
+    wanted = ["app/_components/Button.vue", "app/_components/_inner/Icon.vue", "app/_[id]/a/Page.vue", f"{deep}/_deep.ts", f"{deep}/kept.ts", "app/plain.ts"]
+    for name in [*wanted, f"{deep}/left.ts", "_build/no.ts"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("export const x = 1\n")
+    (tmp_path / deep / ".gitignore").write_text("left.ts\n")
+    assert sorted(r.path for r in workspace.scan(spark, str(tmp_path)).select("path").collect()) == sorted(wanted)

@@ -460,14 +460,27 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return labelled.join(least, "label").select("doc_id", "n_shingles", own.alias("component_id"), F.col("label").alias("group_digest"))
 
 
+KEY = "__fronda_row"
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of each group's least doc_id (rows without shingles stay); of equal rows with that id one stays."""
+    """One row of each group, that of its least doc_id (a null id comes last); rows without shingles all stay.
+
+    Groups are those of distinct (doc_id, text), so rows with one id and other texts, or without an id, are rows of their own.
+    """
     scratch = Scratch(docs.sparkSession)
-    groups = scratch.save(near_groups(docs), "groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    twice = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = docs.join(gone.unionByName(twice).distinct(), "doc_id", "left_anti")
-    repeated = docs.join(twice.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")))
+    found = near_groups(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    groups = scratch.save(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias(KEY), F.col("group_digest").alias("label")).count(), "groups")
+    many = groups.groupBy("label").count().filter("count > 1").select("label")
+    ids = keyed.select(KEY, "doc_id").distinct()
+    # written first, so that a hot group's rows can be split in the join
+    members = scratch.save(groups.select(KEY, "label").join(many, "label", "left_semi").join(ids, KEY), "members")
+    least = scratch.save(members.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("stays")), "stays")
+    gone = members.join(least, "label").filter(F.col(KEY) != F.col("stays")).select(KEY)
+    twice = groups.filter("count > 1").select(KEY)
+    single = keyed.join(gone.unionByName(twice).distinct(), KEY, "left_anti")
+    repeated = keyed.join(twice.join(gone, KEY, "left_anti"), KEY, "left_semi").dropDuplicates([KEY])
     return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 

@@ -247,3 +247,11 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
 def test_registry_names():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_keep_one_by_row(spark):
+    text = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (None, text[4]), (None, text[4]), (None, text[4] + " more"), (7, text[5]), (7, text[5]), (None, text[5]), (None, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.text for r in kept].count(text[4]) + [r.text for r in kept].count(text[4] + " more") == 1
+    same([tuple(r) for r in kept if not (r.text or "").startswith(text[4])], [(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (7, text[5]), (None, "")])

@@ -159,26 +159,40 @@ def test_max_plus_scan_equals_viterbi(size):
     v, rng = toy_vocabulary(), np.random.default_rng(size)
     for text in [" ", " a", " aaaaaaaaaaaaaaaaaaaa", *("".join(rng.choice(list("aabc  \né"), rng.integers(1, 60))) for _ in range(60))]:
         chunks = [(text[i : i + size + v.longest - 1], min(size, len(text) - i), i + size >= len(text)) for i in range(0, len(text), size)]
-        matrices = [v.matrix(*c) for c in chunks]
+        found = v.chunks(chunks)
+        matrices = [c.matrix for c in found]
         total = matrices[0]
         for m in matrices[1:]:
             total = pieces.product(total, m)
         assert total[0, 0] == pytest.approx(best_score(v, text))
-        ids = [i for (t, n, _), (e, x) in zip(chunks, pieces.states(matrices, 0, 0), strict=True) for i in v.trace(t, n, e, x)]
+        ids = []
+        for c, (e, x) in zip(found, pieces.states(matrices, 0, 0), strict=True):
+            head, tail = v.trace(c.head, c.tail, c.inner, e, x)
+            ids += [*head, *c.middle.tolist(), *tail]
         assert b"".join(v.bytes[i] for i in ids).decode() == text
         score = {i: s for i, s in v.pieces.values()}
         assert sum(score.get(i, v.byte_score) for i in ids) == pytest.approx(total[0, 0])
 
 
-def test_primed_segments_equal_single_ones():
-    rng = np.random.default_rng(3)
+def test_segments_at_once_equal_single_texts():
+    rng = np.random.default_rng(5)
     for v in (toy_vocabulary(), pieces.Vocabulary.load()):
-        segments = ["".join(rng.choice(list("aabcdethe réé\u4e00🙂"), rng.integers(1, 50))) for _ in range(400)] + [" ", "a", "\n", " the", " " * 30]
-        v.prime(segments)
-        assert v.memo
-        for s, found in v.memo.items():
-            score, ids = v.path(s)
-            assert found[1] == tuple(ids) and found[0] == score
+        texts = ["".join(rng.choice(list("aabcdethe réé\u4e00🙂\n"), rng.integers(0, 90))) for _ in range(300)] + [" ", "a", "\n", " the", " " * 30, "", "x" * 3000, "▁ the"]
+        data, offsets = common.text_buffer(pa.array(texts))
+        ids, ends, score = v.encode_texts(data, offsets)
+        back, at = v.decode_ids(ids, ends)
+        for k, text in enumerate(texts):
+            raw = np.frombuffer((" " + text).encode() if text else b"", np.uint8)
+            cuts = [*v.starts(raw, np.array([0, len(raw)])).tolist(), len(raw)]
+            want = [v.path(raw[a:b].tobytes().decode()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            assert score[k] == pytest.approx(sum(w for w, _ in want)) == pytest.approx(best_score(v, " " + text) if text else 0.0)
+            assert ids[ends[k] : ends[k + 1]].tolist() == [i for _, own in want for i in own]
+            assert back[at[k] : at[k + 1]].tobytes().decode() == text
+
+
+def test_given_weights_decide():
+    v = pieces.Vocabulary.load(weights={"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -5.0})
+    assert v.path(" ab")[0] == -3.0 and len(v.path(" ab")[1]) == 3
 
 
 def test_encode_documents_round_trip(spark, docs, rows, empty):
@@ -190,6 +204,8 @@ def test_encode_documents_round_trip(spark, docs, rows, empty):
         assert found[i].text == (text or "")
         assert found[i].score == pytest.approx(v.path(" " + text)[0] if text else 0.0)
     assert found[10].n_chunks > RUN_CHUNKS and list(found[5].ids) == []
+    checked = pieces.encode_documents(docs, chunk=512, check=True).collect()
+    assert len(checked) == len(rows) and all(r.round_trip for r in checked)
     one = {r.doc_id: list(r.ids) for r in pieces.encode_documents(docs).collect()}
     assert {i: sum(1 for _ in x) for i, x in one.items()}.keys() == found.keys()
     assert pieces.encode_documents(empty).count() == 0

@@ -1,8 +1,9 @@
 """Shared pieces: the scratch folder and the vectorised word scanner.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, so a word never
-splits a UTF-8 character.  All scanning is done on whole Arrow buffers; work
-arrays are bounded by SCAN_BYTES, not by the length of a text.
+splits a UTF-8 character.  All scanning is done on whole Arrow buffers; byte
+work arrays are bounded by SCAN_BYTES, not by the length of a text; what is kept
+of a long text are arrays of a few numbers a word.
 """
 
 from __future__ import annotations
@@ -103,21 +104,19 @@ LOWER[65:91] += 32
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the n + 1 word offsets of the texts."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~WHITE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.empty(len(data), bool)
-    before[0] = True
-    np.logical_not(solid[:-1], out=before[1:])
-    before |= edge[:-1]
-    after = np.empty(len(data), bool)
-    after[-1] = True
-    np.logical_not(solid[1:], out=after[:-1])
-    after |= edge[1:]
-    starts = np.flatnonzero(solid & before)
-    ends = np.flatnonzero(solid & after) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(data), SCAN_BYTES):
+        high = min(len(data), low + SCAN_BYTES)
+        # one byte more on each side tells whether a word goes on
+        solid = np.zeros(high - low + 2, bool)
+        a, b = max(low - 1, 0), min(high + 1, len(data))
+        np.logical_not(WHITE[data[a:b]], out=solid[a - low + 1 : b - low + 1])
+        edge = np.zeros(high - low + 1, bool)
+        edge[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low] = True
+        own = solid[1:-1]
+        starts.append(np.flatnonzero(own & (~solid[:-2] | edge[:-1])) + low)
+        ends.append(np.flatnonzero(own & (~solid[2:] | edge[1:])) + low + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -159,7 +158,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     i = 0
     while i < len(starts):
         j = int(np.searchsorted(ends, starts[i] + SCAN_BYTES, "right"))
-        j = max(j, i + 1)
+        if j <= i:  # a word longer than a block: the same sum, block by block
+            total, scale, power = 0, 1, _powers(SCAN_BYTES)[0][:SCAN_BYTES]
+            for low in range(int(starts[i]), int(ends[i]), SCAN_BYTES):
+                part = table[data[low : min(low + SCAN_BYTES, int(ends[i]))]]
+                total += int((part * power[: len(part)]).sum()) * scale
+                scale = scale * pow(_BASE, SCAN_BYTES, 1 << 64) % (1 << 64)
+            out[i] = mix(np.array([(total + int(ends[i] - starts[i]) * 0xD6E8FEB86659FD93) % (1 << 64)], U64))[0]
+            i += 1
+            continue
         low, high = int(starts[i]), int(ends[j - 1])
         power, inverse = _powers(high - low)
         sums = np.empty(high - low + 1, U64)

@@ -47,7 +47,7 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 PARTS = 3  # second-level parts; signatures cover PARTS - 1 of them
 SLACK = 0.12  # first-level parts beyond the least number
-FLUSH = 2_000_000  # signatures a task packs at once
+FLUSH = 500_000  # signatures a task packs at once
 BLOCK = 1536  # sets resolved together
 FILTER_BITS = 1 << 24
 RUN = 16  # documents of one signature that are paired with each other

@@ -5,20 +5,26 @@ five languages, otherwise the widest of many seeded random codes).  One binary
 logistic classifier a bit is fitted on frequencies of hashed 2-, 3- and 4-grams
 of the lower-cased UTF-8 bytes.  A text's bits are decoded to the language with
 the smallest loss, log(1 + exp(-bit * margin)) weighted by how well the bit was
-learned; `ambiguous` tells that the runner-up is within AMBIGUOUS of it.
+learned; `ambiguous` tells that the runner-up is within AMBIGUOUS of it.  Weights
+are fixed-point numbers, so sums do not depend on how a text is cut into blocks.
 
 Training takes at most SAMPLE documents, spread evenly over the languages, with
-the smallest hashes of doc_id among rows of the training fold.
+the smallest hashes of doc_id among rows of the training fold; of rows that repeat
+a doc_id the least text teaches.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; null
 langs teach nothing; without any lang every text is `und`; one lang is always
 predicted, with score 1; equal losses go to the language first by code point;
-repeated rows get equal answers; extra columns are ignored; an empty table
-gives no rows.
+repeated rows get equal answers; null doc_ids are in the fold of the empty text
+and may teach as one document; extra columns are ignored; an empty table gives no
+rows; very long texts are read in blocks of BLOCK bytes, n-grams across their
+edges included.
 """
 
 from __future__ import annotations
 
+import codecs
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fronda.llm import common as C
+from fronda.llm.quality_rules import _sums
 
 SAMPLE = 2048
 FOLDS, HELD_OUT = 4, 2
@@ -34,6 +41,8 @@ GRAMS = (2, 3, 4)
 EPOCHS = 30
 AMBIGUOUS = 0.5
 SCALE = 30.0
+BLOCK = 1 << 16
+FIXED = 1 << 20  # steps of a weight
 SEED = 7
 
 _LETTER = np.zeros(256, bool)
@@ -60,11 +69,13 @@ def codewords(n: int, seed: int = SEED) -> np.ndarray:
     return best[1]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray):
-    """For each n-gram length: hashed feature of every position, and which positions lie within a text."""
-    b = np.concatenate([_CLEAN[data], np.zeros(max(GRAMS), np.uint8)]).astype(np.uint32)
-    size = len(data)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(size)
+def grams(data: np.ndarray, ends: np.ndarray, low: int, high: int):
+    """For each n-gram length: hashed feature of every position in [low, high), and which n-grams lie within a text; ends: end of each of these positions' texts."""
+    reach, size = max(GRAMS) - 1, high - low
+    b = np.zeros(size + reach, np.uint32)
+    part = _CLEAN[data[low : high + reach]]
+    b[: len(part)] = part
+    left = ends - np.arange(low, high)
     code = b[:size].copy()
     for n in range(2, max(GRAMS) + 1):
         code |= b[n - 1 : size + n - 1] << np.uint32(8 * (n - 1))
@@ -75,12 +86,15 @@ def grams(data: np.ndarray, offsets: np.ndarray):
             yield h >> np.uint32(32 - DIMS_LOG2), left >= n
 
 
-def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_LETTER[data], out=total[1:])
-    found = total[offsets[1:]] > total[offsets[:-1]]
+def _any_letter(raw: np.ndarray) -> bool:
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return any(c.isalpha() for i in range(0, len(raw), BLOCK) for c in decoder.decode(raw[i : i + BLOCK].tobytes()))
+
+
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    found = _sums(lambda a, b: _LETTER[data[a:b]], offsets) > 0
     for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
-        found[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+        found[i] = _any_letter(data[offsets[i] : offsets[i + 1]])
     return found
 
 
@@ -90,16 +104,18 @@ class Model:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, bits = len(offsets) - 1, self.weight.shape[1]
-        total, count = np.zeros((n, bits)), np.zeros(n)
-        if len(data):
-            doc = np.repeat(np.arange(n), np.diff(offsets))
-            full = np.flatnonzero(np.diff(offsets) > 0)
-            for feature, inside in grams(data, offsets):
-                value = self.weight[feature]
+        steps = np.rint(self.weight * FIXED).astype(np.int32)
+        total, count = np.zeros((n, bits), np.int64), np.zeros(n, np.int64)
+        for low in range(0, len(data), BLOCK):
+            high = min(len(data), low + BLOCK)
+            doc = np.searchsorted(offsets, np.arange(low, high), "right") - 1
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            for feature, inside in grams(data, offsets[doc + 1], low, high):
+                value = steps[feature]
                 value[~inside] = 0
-                total[full] += np.add.reduceat(value, offsets[full], axis=0)
+                total[doc[first]] += np.add.reduceat(value, first, axis=0, dtype=np.int64)
                 count += np.bincount(doc[inside], minlength=n)
-        return SCALE * total / np.maximum(count, 1)[:, None] + self.bias
+        return SCALE / FIXED * total / np.maximum(count, 1)[:, None] + self.bias
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its score and whether another is nearly as good."""
@@ -152,20 +168,23 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = SEED) -> Mod
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.fold("doc_id", FOLDS) != HELD_OUT))
-    each = max(1, sample // max(1, taught.select("lang").distinct().count()))
-    # ids first, so that the sort carries no texts; the rank is limited before the exchange
+    counts = taught.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, sample // max(1, counts.count()))
+    # ids first, so that the sort carries no texts; of a language only hashes low enough for about 4 * each rows are ranked
+    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    low = taught.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(place * F.col("n") <= 4 * each)  # one row a language
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = taught.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("doc_id", "lang").distinct()
+    ids = low.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select(F.col("doc_id").alias("c_id"), "lang")
 
     def run(batches):
         for batch in batches:
             data, offsets = C.text_buffer(batch.column("text"))
             features, values = [], []
-            for i, j in zip(offsets[:-1], offsets[1:], strict=True):
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 total = np.zeros(1 << DIMS_LOG2, np.int64)
-                for a in range(int(i), int(j), C.SLICE_BYTES):  # n-grams across a slice edge are left out
-                    part = data[a : min(a + C.SLICE_BYTES, int(j))]
-                    for feature, inside in grams(part, np.array([0, len(part)])):
+                for a in range(i, j, BLOCK):
+                    b = min(a + BLOCK, j)
+                    for feature, inside in grams(data, np.full(b - a, j), a, b):
                         total += np.bincount(feature[inside], minlength=len(total))
                 at = np.flatnonzero(total)
                 features.append(at.astype(np.uint16).tobytes())
@@ -173,7 +192,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(features, pa.binary()), pa.array(values, pa.binary())], ["lang", "features", "counts"])
 
     # at most `sample` ids go to every executor, and at most `sample` sparse rows to the driver
-    chosen = taught.join(F.broadcast(ids.withColumnRenamed("lang", "c_lang")), "doc_id").filter(F.col("lang") == F.col("c_lang"))
+    chosen = taught.join(F.broadcast(ids.withColumnRenamed("lang", "c_lang")), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("lang") == F.col("c_lang")))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = chosen.select("lang", "text").mapInArrow(run, "lang string, features binary, counts binary")
     # six bytes a feature of `sample` texts
     found = sorted((r["lang"], bytes(r["features"]), bytes(r["counts"])) for r in rows.collect())
@@ -188,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             data, offsets = C.text_buffer(batch.column("text"))
             for i, j in C.slices(offsets, C.SCAN_BYTES):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                known = has_letter(batch.column("text"), part, at)
+                known = has_letter(part, at)
                 if model.langs:
                     best, score, ambiguous = model.decode(model.margins(part, at))
                     pred = np.where(known, np.array(model.langs, object)[best], "und")

@@ -11,7 +11,8 @@ a text's number is part of every key, so no repeat joins two texts.
 
 Edge cases: a null or empty text has zero counts and fails the base rules; ties
 cannot arise; repeated rows are scored alike, one output row per input row;
-a null doc_id stays null; extra columns are ignored; an empty table gives none.
+a null doc_id stays null; extra columns are ignored; an empty table gives none;
+of a very long text some twenty bytes are held for each of its bytes at most.
 """
 
 from __future__ import annotations
@@ -38,10 +39,18 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def _sums(flags, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set between offsets; flags: an array, or a function that gives those of a range."""
+    n = int(offsets[-1])
+    get = flags if callable(flags) else lambda low, high: flags[low:high]
+    at, before = np.zeros(len(offsets), np.int64), 0
+    for low in range(0, n, C.SCAN_BYTES):
+        high = min(n, low + C.SCAN_BYTES)
+        total = np.append(0, np.cumsum(get(low, high), dtype=np.int64)) + before
+        i, j = np.searchsorted(offsets, low), np.searchsorted(offsets, high, "right")
+        at[i:j] = total[offsets[i:j] - low]
+        before = total[-1]
+    return at[1:] - at[:-1]
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -69,54 +78,67 @@ def _group_heads(sorted_keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(sorted_keys)), 0))
 
 
-def suffix_array(keys: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray | None, np.ndarray]]]:
     """Suffix array of word keys (unequal across texts) and the rank of each window of 1, 2, 4, ... words.
 
-    doc: text of each word; ends: first position after each text.
+    ends: for each word the first position after its text.  From the second level
+    on only places whose rank was still shared are kept (place, rank); at all
+    others the window occurs once.
     """
     n = len(keys)
+    number = np.int32 if n < 2**31 - 1 else np.int64
     order = np.argsort(keys, kind="stable")
-    heads = _group_heads(keys[order])
-    rank = np.empty(n, np.int64)
-    rank[order] = heads
-    levels, step = [rank], 1
-    active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    rank = np.empty(n, number)
+    rank[order] = _group_heads(keys[order])
+    del order
+    levels, step = [(None, rank.copy())], 1
+    active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(number)
     while len(active):
-        after = active + step
-        inside = after < ends[doc[active]]
-        following = np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
+        after = active.astype(np.int64) + step
+        following = np.where(after < ends[active], rank[np.minimum(after, n - 1)] + 1, 0).astype(number)
+        del after
         by = np.lexsort((following, rank[active]))
-        moved, old, nxt = active[by], rank[active][by], following[by]
+        moved = active[by]
+        old, nxt = rank[moved], following[by]
         first = _group_heads(old)
         fine = np.ones(len(by), bool)
         fine[1:] = (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1])
         own = np.maximum.accumulate(np.where(fine, np.arange(len(by)), 0))
-        rank = rank.copy()
         rank[moved] = old + own - first
-        levels.append(rank)
+        levels.append((active, rank[active]))
         alone = fine & np.append(fine[1:], True)
         active = np.sort(moved[~alone])
         step *= 2
-    array = np.empty(n, np.int64)
-    array[rank] = np.arange(n)
+    array = np.empty(n, number)
+    array[rank] = np.arange(n, dtype=number)
     return array, levels
 
 
-def common_prefixes(array: np.ndarray, levels: list[np.ndarray], doc: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _equal(level: tuple[np.ndarray | None, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows of a level at places a and b (a != b) are equal."""
+    places, ranks = level
+    if places is None:
+        return ranks[a] == ranks[b]
+    if not len(places):
+        return np.zeros(len(a), bool)
+    at, to = (np.minimum(np.searchsorted(places, x), len(places) - 1) for x in (a, b))
+    return (places[at] == a) & (places[to] == b) & (ranks[at] == ranks[to])
+
+
+def common_prefixes(array: np.ndarray, levels: list[tuple[np.ndarray | None, np.ndarray]], ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbours of the suffix array that share `least` words or more, and how many they share."""
     low = 0
     while 2 << low <= least and low + 1 < len(levels):
         low += 1
-    a, b = array[:-1], array[1:]
-    near = levels[low][a] == levels[low][b] if 1 << low <= least else np.ones(len(a), bool)
-    a, b = a[near], b[near]
+    near = np.flatnonzero(_equal(levels[low], array[:-1], array[1:])) if 1 << low <= least else np.arange(len(array) - 1)
+    a, b = array[near].astype(np.int64), array[near + 1].astype(np.int64)
     size = np.zeros(len(a), np.int64)
     n = len(array)
     for k in range(len(levels) - 1, -1, -1):
         while True:
             at, to = a + size, b + size
-            ok = (at + (1 << k) <= ends[doc[a]]) & (to + (1 << k) <= ends[doc[b]])
-            ok &= levels[k][np.minimum(at, n - 1)] == levels[k][np.minimum(to, n - 1)]
+            ok = (at + (1 << k) <= ends[a]) & (to + (1 << k) <= ends[b])
+            ok &= _equal(levels[k], np.minimum(at, n - 1), np.minimum(to, n - 1))
             if not ok.any():
                 break
             size += np.where(ok, 1 << k, 0)
@@ -130,8 +152,9 @@ def repeats(hashes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
     longest = np.zeros(n, np.int64)
     if n:
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        array, levels = suffix_array(C.mix(hashes ^ C.mix(doc.astype(np.uint64))), doc, offsets[1:])
-        a, b, size = common_prefixes(array, levels, doc, offsets[1:], least)
+        ends = offsets[1:][doc]
+        array, levels = suffix_array(C.mix(hashes ^ C.mix(doc.astype(np.uint64))), ends)
+        a, b, size = common_prefixes(array, levels, ends, least)
         np.maximum.at(longest, a, size)
         np.maximum.at(longest, b, size)
     at = np.flatnonzero(longest)
@@ -141,8 +164,7 @@ def repeats(hashes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
 def measure(data: np.ndarray, offsets: np.ndarray, least: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     starts, ends, at = C.words(data, offsets)
     n, n_words = len(offsets) - 1, np.diff(at)
-    solid = ~C.WHITE[data]
-    out = {"n_words": n_words, "word_chars": _sums(solid & ((data & 0xC0) != 0x80), offsets), "n_symbols": _sums(_SYMBOL[data], offsets)}
+    out = {"n_words": n_words, "word_chars": _sums(lambda a, b: ~C.WHITE[data[a:b]] & ((data[a:b] & 0xC0) != 0x80), offsets), "n_symbols": _sums(lambda a, b: _SYMBOL[data[a:b]], offsets)}
 
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True

@@ -1,7 +1,10 @@
 """Operators that judge each text: scanner, rules, classifier, languages, pieces, pages."""
 
 import collections
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,68 @@ def test_long_words_cross_scan_blocks():
     assert len(hashes) == 4 and len(set(hashes.tolist())) == 2
 
 
+def test_hash_of_a_word_beyond_a_block():
+    size = 2 * common.SCAN_BYTES + 12345
+    data_ = np.frombuffer(np.random.default_rng(1).integers(97, 123, size, dtype=np.uint8).tobytes() + b" xy", np.uint8)
+    total = 0
+    for k, b in enumerate(common._TABLE[data_[:size]].tolist()):
+        if k == 0:
+            power = 1
+        total = (total + b * power) % (1 << 64)
+        power = power * common._BASE % (1 << 64)
+    want = common.mix(np.array([(total + size * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0]
+    starts, ends, _ = common.words(data_, np.array([0, len(data_)]))
+    assert starts.tolist() == [0, size + 1] and common.word_hashes(data_, starts, ends)[0] == want
+
+
+LONG = """
+import resource, sys
+import numpy as np
+from fronda.llm import classifier, jaccard, language, quality_rules
+rng = np.random.default_rng(2)
+words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)])
+text = " ".join(rng.choice(words, 2_300_000)).encode()
+data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "rules":
+    quality_rules.measure(data, at)
+elif sys.argv[1] == "classifier":
+    classifier.statistics(data, at)
+elif sys.argv[1] == "sets":
+    jaccard.shingle_sets(data, at)
+else:
+    weight = np.ones((1 << language.DIMS_LOG2, 7), np.float32)
+    language.Model(["a"] * 4, language.codewords(4), weight, np.zeros(7), np.ones(7)).margins(data, at)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 / (len(text) / 2**20))
+"""
+
+
+@pytest.mark.parametrize(("what", "most"), [("rules", 25), ("classifier", 25), ("sets", 25), ("languages", 4)])
+def test_one_long_text_takes_bounded_memory(what, most):
+    """Megabytes for each megabyte of one text of 16 MB."""
+    found = subprocess.run([sys.executable, "-c", LONG, what], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(found.stdout) < most
+
+
+def test_grams_across_blocks(monkeypatch):
+    text = np.frombuffer(b"the quick brown fox jumps over the lazy dog" * 5, np.uint8)
+    at = np.array([0, 70, 71, len(text)])
+    weight = np.random.default_rng(3).normal(size=(1 << language.DIMS_LOG2, 3)).astype(np.float32)
+    model = language.Model(["a", "b", "c"], language.codewords(3), weight, np.zeros(3), np.ones(3))
+    whole = model.margins(text, at)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert (model.margins(text, at) == whole).all()
+    # every n-gram of every text, by brute force
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        seen = []
+        for lo in range(a, b):
+            for f, ok in language.grams(text[a:b], np.full(1, b - a), lo - a, lo - a + 1):
+                seen += f[ok].tolist()
+        assert len(seen) == sum(max(0, b - a - n + 1) for n in language.GRAMS)
+        want = language.SCALE * weight[seen].sum(axis=0, dtype=float) / max(1, len(seen)) if seen else np.zeros(3)
+        assert whole[i] == pytest.approx(want, abs=1e-3)
+
+
 def brute_rules(text):
     w = data.words(text, lower=False)
     chars = (text or "").encode()

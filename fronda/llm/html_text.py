@@ -1,20 +1,25 @@
-"""HTML extraction (operator 7): page structure, then repeated runs of the host.
-
-A page is read tag by tag.  Scripts, styles, head, forms, and menus, headers,
-footers, sidebars, notices, adverts and reader comments (by element, or by
-words of class, id and role) are left out.  On a page with an article or main
-element that is not itself left out, text outside such elements goes too.
-
-On every page the host then decides on the text that is left.  Its distinct
-texts (pages of equal words are one text, so copies of a page do not delete each
-other) are compared by their suffixes cut to MIN_RUN words: a window of MIN_RUN
-words shared by texts is the start of a shared suffix, and the union of such
-windows is the union of all longer shared substrings, so no suffix array or LCP
-is built; hashes of the windows stand in for it.  A run is boilerplate if its
-windows are in MIN_TEXTS of the host's texts and in one of SHARE of them, at
-least: fewer pages cannot tell a notice from a quotation, a near copy of an
-article or a common phrase.  Covered words go, all others stay.  Text that the
-structure has left out is no evidence: sidebars name other pages' headings.
+"""HTML extraction (operator 7): host suffix array over page streams, then page structure.
+
+A page is read tag by tag into blocks; scripts, styles, head and other text that
+is no prose are left out.  Structure tells two streams of words apart: the main
+one, and the rest (menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, by element or by words of class, id and role; on a page with an
+article or main element that is not itself unwanted, all text outside such).
+
+The streams of a host's distinct pages are concatenated, main and rest each on
+their own, and sorted into a suffix array.  Neighbouring suffixes with a longest
+common prefix of MIN_RUN words or more form LCP intervals: runs repeated across
+pages.  Pages of equal main words are one text, so copies of a page do not delete
+each other.  A run is boilerplate if its interval holds suffixes of MIN_TEXTS of
+the host's texts and of one in SHARE of them, at least: fewer pages cannot tell a
+notice from a quotation, a near copy of an article or a common phrase.  Covered
+words go; of what is left, the main stream is the text, and structure drops the
+rest.  `run_words` and `rule_words` tell what each of the two took.  The rest is
+no evidence against the main stream: sidebars name other pages' headings.
+
+The texts of a large host are dealt to groups with a suffix array each; a run in
+a share of all texts is in that share of some group's, so groups name candidates
+(by the hash of a run's windows of MIN_RUN words), which are counted over all.
 
 Edge cases: null or empty html gives empty text; a null url is a host of its
 own; character references without a meaning stay as they are; unclosed elements
@@ -36,6 +41,7 @@ from pyspark.sql import functions as F
 
 from fronda.llm import common as C
 from fronda.llm.common import Scratch
+from fronda.llm.quality_rules import common_prefixes, suffix_array
 
 MIN_RUN = 6
 MIN_TEXTS, SHARE = 3, 3  # a boilerplate run is in three of a host's distinct texts and in a third of them, at least
@@ -135,39 +141,51 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def stream_windows(texts: list[str], host: str, run: int) -> np.ndarray:
-    """Hashes of (host, `run` words) at every place of a page's word stream."""
+def _words(texts: list[str]) -> np.ndarray:
+    """Hashes of the words of a stream."""
     data = np.frombuffer(" ".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-    starts, ends, at = C.words(data, np.array([0, len(data)]))
-    if len(starts) < run:
+    starts, ends, _ = C.words(data, np.array([0, len(data)]))
+    return C.word_hashes(data, starts, ends)
+
+
+def stream_windows(words: np.ndarray, part: int, run: int) -> np.ndarray:
+    """Hashes of `run` words at every place of a stream; part: 0 main, 1 rest."""
+    if len(words) < run:
         return np.zeros(0, np.int64)
+    return C.mix(C.window_hashes(words, np.array([0, len(words)]), run)[0] + C.U64(part)).view(np.int64)
+
+
+def _content(words: np.ndarray, host: str) -> int:
+    """Hash of a page's host and main words in their order."""
     own = np.frombuffer(host.encode() or b"\0", np.uint8)
     seed = C.word_hashes(own, np.array([0]), np.array([len(own)]))
-    return C.mix(C.window_hashes(C.word_hashes(data, starts, ends), at, run)[0] ^ seed).view(np.int64)
+    placed = C.mix(words + np.arange(len(words), dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
+    return int(C.mix(seed + placed.sum(dtype=C.U64) + C.U64(len(words))).view(np.int64)[0])
 
 
-def _content(texts: list[str], host: str) -> int:
-    """Hash of a page's host and words."""
-    data = np.frombuffer(f"{host} {' '.join(' '.join(texts).split())}".encode("utf-8", "surrogatepass"), np.uint8)
-    return int(C.word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
+def _pack(main: list[str], rest: list[str]) -> bytes:
+    """Blocks, which hold no line ends, zipped: two thirds of what a shuffle makes of them."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join([*main, "", *rest]).encode())
 
 
-def _pack(texts: list[str]) -> bytes:
-    """Blocks, which hold no line ends, zipped: two thirds of what a shuffle makes of them."""
-    return zstandard.ZstdCompressor(level=1).compress("\n".join(texts).encode())
+def _unpack(data: bytes) -> tuple[list[str], list[str]]:
+    found = zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
+    at = found.index("")  # a block is never empty
+    return found[:at], found[at + 1 :]
 
 
-def _unpack(data: bytes) -> list[str]:
-    text = zstandard.ZstdDecompressor().decompress(data).decode()
-    return text.split("\n") if text else []
+def covered_words(words: np.ndarray, part: int, repeated: np.ndarray, run: int) -> np.ndarray:
+    """Which words of a stream lie in one of the repeated windows."""
+    covered = np.zeros(len(words), bool)
+    at = np.flatnonzero(np.isin(stream_windows(words, part, run), repeated))
+    for k in range(run):
+        covered[at + k] = True
+    return covered
 
 
-def unique_runs(texts: list[str], windows: np.ndarray, repeated: set[int], run: int) -> list[str]:
-    """`texts` without the words that a repeated window covers; emptied blocks go."""
+def unique_runs(texts: list[str], covered: np.ndarray) -> list[str]:
+    """`texts` without covered words; emptied blocks go."""
     words = [[w for w in re.split(r"[ \t-\r]+", t) if w] for t in texts]
-    covered = np.zeros(sum(map(len, words)), bool)
-    for i in np.flatnonzero(np.isin(windows, list(repeated))):
-        covered[i : i + run] = True
     out, at = [], 0
     for own in words:
         kept = [w for w, c in zip(own, covered[at : at + len(own)], strict=True) if not c]
@@ -177,6 +195,30 @@ def unique_runs(texts: list[str], windows: np.ndarray, repeated: set[int], run:
     return out
 
 
+def repeated_runs(streams: list[np.ndarray], run: int, least: int) -> list[tuple[int, int, int]]:
+    """(stream, place, texts) of one suffix of every LCP interval of `run` words or more that `least` streams or more are in."""
+    keys = np.concatenate([np.zeros(0, C.U64), *streams])
+    if not len(keys):
+        return []
+    sizes = np.array([len(x) for x in streams])
+    doc, stop = np.repeat(np.arange(len(streams)), sizes), np.cumsum(sizes)
+    ends = stop[doc]
+    array, levels = suffix_array(keys, ends, doc)
+    a, b, _ = common_prefixes(array, levels, ends, run)
+    # suffixes in order; a neighbour that shares too little begins a new interval
+    place = np.empty(len(keys), np.int64)
+    place[array] = np.arange(len(keys))
+    joined = np.zeros(len(keys), bool)
+    joined[place[b]] = True
+    interval = np.cumsum(~joined) - 1
+    inside = np.flatnonzero(joined | np.append(joined[1:], False))
+    pairs = np.unique(np.stack([interval[inside], doc[array[inside]]], axis=1), axis=0)
+    number, texts = np.unique(pairs[:, 0], return_counts=True)
+    wide = texts >= least
+    at = array[np.searchsorted(interval, number[wide])]
+    return list(zip(doc[at].tolist(), (at - (stop - sizes)[doc[at]]).tolist(), texts[wide].tolist(), strict=True))
+
+
 def need(texts: int) -> int:
     """How many of a host's distinct texts a window of a boilerplate run is in, at least."""
     return max(MIN_TEXTS, -(-texts // SHARE))
@@ -197,19 +239,37 @@ def _by_key(batches, *keys: str):
         yield now, held
 
 
-def _counts(rows: list[dict], host: str, run: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Distinct texts, their windows, and how many of the texts each window is in."""
-    own = {r["content"]: r["packed"] for r in rows}
-    windows = [np.unique(stream_windows(_unpack(packed), host, run)) for packed in own.values()]
-    return len(own), *np.unique(np.concatenate(windows), return_counts=True)
+def _streams(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Main and rest words of each distinct text of a group."""
+    return [tuple(map(_words, _unpack(packed))) for packed in {r["content"]: r["packed"] for r in rows}.values()]
+
+
+def _named(rows: list[dict], run: int, alone: bool) -> tuple[int, np.ndarray]:
+    """How many distinct texts a group has, and the windows of runs that may be boilerplate by the group's suffix arrays."""
+    streams = _streams(rows)
+    n = len(streams)
+    least = need(n) if alone else max(1, -(-n // SHARE))
+    found = [np.zeros(0, np.int64)]
+    for part in (0, 1):
+        own = [s[part] for s in streams]
+        for k, at, _ in repeated_runs(own, run, least) if n > 1 else []:
+            found.append(stream_windows(own[k][at : at + run], part, run))
+        if least == 1:  # then a run need not be repeated inside the group
+            found += [stream_windows(x, part, run) for x in own]
+    return n, np.unique(np.concatenate(found))
+
+
+def _counts(rows: list[dict], run: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct texts of a group hold each of the asked windows."""
+    own = [np.unique(np.concatenate([stream_windows(x, part, run) for part, x in enumerate(s)])) for s in _streams(rows)]
+    windows = np.concatenate([np.zeros(0, np.int64), *(w[np.isin(w, asked)] for w in own)])
+    return np.unique(windows, return_counts=True)
 
 
 def boilerplate(texts: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> DataFrame:
-    """host and the windows of its boilerplate runs; texts: host, content (hash of a page's words) and packed blocks, repeats allowed.
+    """host and the windows of its boilerplate runs; texts: host, content (hash of a page's main words) and packed blocks, repeats allowed.
 
-    The texts of a host are dealt to groups of about `group` by content.  A window
-    in a share of all texts is in that share of the texts of some group, so groups
-    name candidates, and counts of candidates are summed over the groups.
+    The texts of a host are dealt to groups of about `group` by content.
     """
     scratch = Scratch(texts.sparkSession)
     big = texts.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > group)
@@ -219,10 +279,9 @@ def boilerplate(texts: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> Dat
 
     def name(batches):
         for (host, _), rows in _by_key(batches, "host", "group"):
-            n, windows, counts = _counts(rows, host, run)
             alone = rows[0]["groups"] == 1
-            keep = counts >= (need(n) if alone else -(-n // SHARE))
-            yield pa.RecordBatch.from_pydict({"host": [host], "alone": [alone], "texts": pa.array([n], pa.int64()), "windows": pa.array([windows[keep]], pa.list_(pa.int64()))})
+            n, windows = _named(rows, run, alone)
+            yield pa.RecordBatch.from_pydict({"host": [host], "alone": [alone], "texts": pa.array([n], pa.int64()), "windows": pa.array([windows], pa.list_(pa.int64()))})
 
     def sort(df: DataFrame) -> DataFrame:
         return df.repartition("host", "group").sortWithinPartitions("host", "group")
@@ -237,9 +296,8 @@ def boilerplate(texts: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> Dat
 
     def count(key, left: pa.Table, right: pa.Table) -> pa.Table:
         host, wanted = key[0].as_py(), right.column("asked").to_pylist()
-        _, windows, counts = _counts(left.to_pylist(), host, run) if left.num_rows and wanted else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        keep = np.isin(windows, np.array(wanted[0] if wanted else [], np.int64))
-        return pa.table({"host": pa.array([host] * int(keep.sum()), pa.string()), "w": pa.array(windows[keep], pa.int64()), "n": pa.array(counts[keep], pa.int64())})
+        windows, counts = _counts(left.to_pylist() if wanted else [], run, np.array(wanted[0] if wanted else [], np.int64))
+        return pa.table({"host": pa.array([host] * len(windows), pa.string()), "w": pa.array(windows, pa.int64()), "n": pa.array(counts, pa.int64())})
 
     met = again.groupBy("host", "group").cogroup(asked.groupBy("host", "group")).applyInArrow(count, "host string, w long, n long")
     least = F.greatest(F.lit(MIN_TEXTS), F.ceil(F.col("texts") / SHARE))
@@ -248,7 +306,7 @@ def boilerplate(texts: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> Dat
 
 
 def main_texts(pages: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> DataFrame:
-    """page_id, url and main text of every row."""
+    """page_id, url, main text, and the words that host runs and then structure took, of every row."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
 
@@ -262,27 +320,33 @@ def main_texts(pages: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> Data
                     found = blocks(page or "")
                     sure = any(m and not b for _, m, b in found)  # an article in comments or a sidebar is not the page's
                     hosts.append(host_of(url))
-                    kept.append([t for t, m, b in found if not b and (m or not sure)])
-                    contents.append(_content(kept[-1], hosts[-1]))
+                    main = [t for t, m, b in found if not b and (m or not sure)]
+                    rest = [t for t, m, b in found if b or (sure and not m)]
+                    kept.append(_pack(main, rest))
+                    contents.append(_content(_words(main), hosts[-1]))
                     # a task sends a text that it meets many times to be counted once
-                    first.append(bool(kept[-1]) and contents[-1] not in met)
+                    first.append(bool(found) and contents[-1] not in met)
                     met.add(contents[-1])
-                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "host": pa.array(hosts, pa.string()), "packed": pa.array(map(_pack, kept), pa.binary()), "content": pa.array(contents, pa.int64()), "first": pa.array(first, pa.bool_())})
+                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "host": pa.array(hosts, pa.string()), "packed": pa.array(kept, pa.binary()), "content": pa.array(contents, pa.int64()), "first": pa.array(first, pa.bool_())})
 
     def finish(batches):
         for batch in batches:
-            out = []
-            for host, packed, windows in zip(*(batch.column(c).to_pylist() for c in ("host", "packed", "windows")), strict=True):
-                own = _unpack(packed)
-                out.append("\n\n".join(unique_runs(own, stream_windows(own, host, run), set(windows), run) if windows else own))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+            out, by_run, by_rule = [], [], []
+            for packed, windows in zip(*(batch.column(c).to_pylist() for c in ("packed", "windows")), strict=True):
+                texts = _unpack(packed)
+                repeated = np.array(windows or [], np.int64)
+                main, rest = (covered_words(_words(t), part, repeated, run) for part, t in enumerate(texts))
+                out.append("\n\n".join(unique_runs(texts[0], main) if main.any() else texts[0]))
+                by_run.append(int(main.sum() + rest.sum()))
+                by_rule.append(int((~rest).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(by_run, pa.int64()), pa.array(by_rule, pa.int64())], ["page_id", "url", "text", "run_words", "rule_words"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = scratch.save(rows.mapInArrow(parse, "page_id long, url string, host string, packed binary, content long, first boolean"), "parsed")
     found = scratch.save(boilerplate(parsed.filter("first").select("host", "content", "packed"), run, group), "boilerplate")
-    return parsed.join(found, "host", "left").select("page_id", "url", "host", "packed", "windows").mapInArrow(finish, "page_id long, url string, text string")
+    return parsed.join(found, "host", "left").select("page_id", "url", "packed", "windows").mapInArrow(finish, "page_id long, url string, text string, run_words long, rule_words long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "run_words", "rule_words")

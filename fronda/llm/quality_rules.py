@@ -78,10 +78,11 @@ def _group_heads(sorted_keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(sorted_keys)), 0))
 
 
-def suffix_array(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray | None, np.ndarray]]]:
-    """Suffix array of word keys (unequal across texts) and the rank of each window of 1, 2, 4, ... words.
+def suffix_array(keys: np.ndarray, ends: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray | None, np.ndarray]]]:
+    """Suffix array of word keys and the rank of each window of 1, 2, 4, ... words.
 
-    ends: for each word the first position after its text.  From the second level
+    ends: for each word the first position after its text; doc: its text, needed if
+    texts share keys (each then ends in a mark of its own).  From the second level
     on only places whose rank was still shared are kept (place, rank); at all
     others the window occurs once.
     """
@@ -95,7 +96,7 @@ def suffix_array(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
     active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(number)
     while len(active):
         after = active.astype(np.int64) + step
-        following = np.where(after < ends[active], rank[np.minimum(after, n - 1)] + 1, 0).astype(number)
+        following = np.where(after < ends[active], rank[np.minimum(after, n - 1)] + 1, 0 if doc is None else -doc[active]).astype(number)
         del after
         by = np.lexsort((following, rank[active]))
         moved = active[by]

@@ -339,6 +339,61 @@ def test_host_runs_keep_copies_and_quotations(spark):
         assert found[k] == " ".join(f"{own_words(k)} {quote if k < 2 else ''} {own_words(50 + k)}".split())
 
 
+def test_repeated_runs_match_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        streams = [rng.integers(0, 4, rng.integers(0, 40)).astype(np.uint64) for _ in range(rng.integers(1, 7))]
+        streams.append(streams[0].copy())
+        for run, least in ((2, 2), (3, 3), (5, 2)):
+            seen = collections.defaultdict(set)
+            for k, s in enumerate(streams):
+                for i in range(len(s) - run + 1):
+                    seen[tuple(s[i : i + run].tolist())].add(k)
+            want = {w: len(k) for w, k in seen.items() if len(k) >= least}
+            found = html_text.repeated_runs(streams, run, least)
+            assert {tuple(streams[k][i : i + run].tolist()): n for k, i, n in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("group", [3, 512])
+def test_hosts_match_brute_force(spark, group):
+    """Words that stand in a run of six words or more in a third of a host's distinct texts, and in three, go; all else stays."""
+    rng = np.random.default_rng(4)
+    phrases = [" ".join(f"p{k}q{i}" for i in range(rng.integers(4, 12))) for k in range(8)]
+    rows = []
+    for k in range(40):
+        host = ["a.x", "b.x", "c.x"][min(2, k // 18)]
+        some = [phrases[i] for i in rng.permutation(8)[: rng.integers(1, 5)]]
+        body = [f"<p>{own_words(k, int(rng.integers(1, 9)))} {s}</p>" for s in some]
+        rows.append((k, f"http://{host}/{k}", f"<nav>{phrases[0]} {phrases[1]}</nav><article>{''.join(body)}</article>"))
+    rows.append((99, rows[0][1], rows[0][2]))
+    texts = {i: [" ".join(t.split()) for t, m, b in html_text.blocks(h) if m] for i, _, h in rows}
+    found = {r.page_id: r for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), group=group).collect()}
+    changed = 0
+    for host in ("a.x", "b.x", "c.x"):
+        own = {i: texts[i] for i, url, _ in rows if host in url}
+        distinct = {" ".join(t).lower() for t in own.values()}
+        seen = collections.Counter()
+        for t in distinct:
+            w = t.split()
+            seen.update({tuple(w[k : k + 6]) for k in range(len(w) - 5)})
+        least = max(3, -(-len(distinct) // 3))
+        for i, t in own.items():
+            w = " ".join(t).lower().split()
+            gone = {k + d for k in range(len(w) - 5) if seen[tuple(w[k : k + 6])] >= least for d in range(6)}
+            want = " ".join(x for k, x in enumerate(" ".join(t).split()) if k not in gone)
+            assert " ".join(found[i].text.split()) == want
+            changed += bool(gone)
+            assert found[i].run_words >= len(gone)
+    assert changed > 5 and max(r.run_words for r in found.values()) > 6
+
+
+def test_pages_of_an_empty_table_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string, text string, windows string, rest string, host string"
+    assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
+    r = html_text.main_texts(spark.createDataFrame([(1, "http://a.b/", "<p>own text</p>", "x", "y", "z", "h")], schema)).first()
+    assert r.text == "own text" and r.run_words == 0
+
+
 def brute_base(rows):
     counts = collections.Counter()
     for i, text, *_ in rows:

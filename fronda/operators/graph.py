@@ -7,6 +7,7 @@ frontier to the shared folder each round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,26 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset and everything runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.mkdtemp(prefix='fronda')}").rstrip("/")
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='fronda')}"
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    path = path or f"{shared_folder(spark)}/fronda-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _up(edges: DataFrame) -> DataFrame:
@@ -66,20 +84,15 @@ def reverse_closure(dependencies: DataFrame, changed: DataFrame) -> DataFrame:
     """
     spark = dependencies.sparkSession
     root, n = f"{shared_folder(spark)}/fronda-closure-{uuid.uuid4().hex}", 0
-    step = dependencies.select("path", "dependency_path").distinct()
-
-    def save(df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{n}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{n}")
-
-    frontier = save(changed.select("path").distinct())
-    seen = frontier
+    step = saved(dependencies.select("path", "dependency_path").distinct(), f"{root}/step")
+    frontier = saved(changed.select("path").distinct(), f"{root}/seen/0")
+    everything = lambda: spark.read.schema(frontier.schema).option("recursiveFileLookup", True).parquet(f"{root}/seen")
     while not frontier.isEmpty():
         n += 1
         new = frontier.select(F.col("path").alias("dependency_path")).join(step, "dependency_path").select("path").distinct()
-        frontier = save(new.join(seen, "path", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = saved(new.join(everything(), "path", "left_anti"), f"{root}/seen/{n}")
+    delete(spark, f"{root}/step")
+    return everything()
 
 
 def tree_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 3, down: bool = False) -> DataFrame:
@@ -154,3 +167,17 @@ def passed_chains(passes: DataFrame, max_hops: int = 3) -> DataFrame:
         chain = grown.select("origin", F.col("next").alias("target"), "prop", F.lit(hops).alias("hops"), F.concat("via", F.array("next")).alias("via"))
         out = chain if out is None else out.unionByName(chain)
     return out
+
+
+def unique_candidates(uses: DataFrame, catalog: DataFrame, taken: DataFrame) -> DataFrame:
+    """(path, key, target) where a used key (path, key) has one candidate (key, target) that is neither the path itself nor taken (path, target).
+
+    Candidates are counted by key first; only uses with exactly one left are
+    joined with the catalog, and then a use meets at most one candidate more than it has taken.
+    """
+    catalog = catalog.select("key", "target").distinct()
+    counts = catalog.groupBy("key").agg(F.count("*").alias("n"))
+    gone = taken.select("path", "target").unionByName(uses.select("path", F.col("path").alias("target"))).distinct().join(catalog, "target").select("path", "key", "target")
+    used_up = gone.groupBy("path", "key").agg(F.count("*").alias("gone"))
+    one = uses.select("path", "key").distinct().join(counts, "key").join(used_up, ["path", "key"], "left").filter(F.col("n") - F.coalesce("gone", F.lit(0)) == 1)
+    return one.select("path", "key").join(catalog, "key").join(gone, ["path", "key", "target"], "left_anti").select("path", "key", "target")

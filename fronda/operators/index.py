@@ -1,8 +1,8 @@
 """From parsed files to the graph tables, their versioned store and the questions that need them.
 
-Imports are resolved by a ranked lookup join, barrels by a few more, tags
-without an import by unique component name.  A store keeps one folder a
-generation and a pointer that is replaced last.
+Imports are resolved by a ranked lookup join, barrels by as many more as they
+take, tags without an import by unique component name.  A store keeps one folder
+and one pointer a generation, the pointer being written last.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql.window import Window
 
 from fronda.functions import names, paths
 from fronda.operators import parse
-from fronda.operators.graph import first_writer_wins
+from fronda.operators.graph import first_writer_wins, saved
 
 #: Suffixes tried for an import, in order.
 SUFFIXES = ("", ".vue", ".tsx", ".ts", ".jsx", ".js", ".astro", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue")
-BARREL_HOPS = 3
 SCHEMA_VERSION = 1
 
 
@@ -53,18 +52,24 @@ def resolve(rows: DataFrame, files: DataFrame, aliases: dict[str, str] | None =
     return rows.join(found, ["path", "source"], "left")
 
 
-def chase_barrels(links: DataFrame, reexports: DataFrame, hops: int = BARREL_HOPS) -> DataFrame:
-    """`links` (path, exported, target, ...) with the target behind re-exporting files.
+def chase_barrels(links: DataFrame, reexports: DataFrame) -> DataFrame:
+    """`links` (path, exported, target, ...) with the target behind re-exporting files, however many; a circle ends where it closes.
 
-    reexports: (path, name, local, target); a name wins over '*'.
+    reexports: (path, name, local, target); a name wins over '*'.  Each round is
+    written to the shared folder; rounds end when no link moves.
     """
-    step = reexports.select(F.col("path").alias("at"), F.col("name").alias("r_name"), F.col("local").alias("r_local"), F.col("target").alias("r_target")).filter("r_target IS NOT NULL")
-    for _ in range(hops):
-        met = links.join(step, (F.col("target") == F.col("at")) & ((F.col("exported") == F.col("r_name")) | (F.col("r_name") == "*")), "left")
-        rank = Window.partitionBy("link").orderBy((F.col("r_name") == "*").cast("int"), "r_target")
-        best = met.withColumn("n", F.row_number().over(rank)).filter("n = 1")
-        links = best.withColumn("exported", F.when(F.col("r_target").isNull() | (F.col("r_name") == "*"), F.col("exported")).otherwise(F.col("r_local"))).withColumn("target", F.coalesce("r_target", "target")).drop("at", "r_name", "r_local", "r_target", "n")
-    return links
+    step = saved(reexports.select(F.col("path").alias("at"), F.col("name").alias("r_name"), F.col("local").alias("r_local"), F.col("target").alias("r_target")).filter("r_target IS NOT NULL"))
+    links = links.withColumn("via", F.array("target")).withColumn("moved", F.lit(True))
+    rank = Window.partitionBy("link").orderBy((F.col("r_name") == "*").cast("int"), "r_target")
+    while True:
+        going = links.filter("moved").drop("moved")
+        met = going.join(step, (F.col("target") == F.col("at")) & ((F.col("exported") == F.col("r_name")) | (F.col("r_name") == "*")) & ~F.array_contains("via", F.col("r_target")), "left")
+        best = met.withColumn("n", F.row_number().over(rank)).filter("n = 1").withColumn("moved", F.col("r_target").isNotNull())
+        named = best.withColumn("exported", F.when(F.col("r_target").isNull() | (F.col("r_name") == "*"), F.col("exported")).otherwise(F.col("r_local")))
+        nxt = named.withColumn("via", F.when(F.col("moved"), F.concat("via", F.array("r_target"))).otherwise(F.col("via"))).withColumn("target", F.coalesce("r_target", "target"))
+        links = saved(links.filter("NOT moved").unionByName(nxt.select(*links.columns)))
+        if links.filter("moved").isEmpty():
+            return links.drop("via", "moved")
 
 
 def tag_matches(tag: Column, name: Column) -> Column:
@@ -112,20 +117,27 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        folder, fs = self._path("")
+        if not fs.exists(folder):
+            return []
+        return sorted(n for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("current-"))
+
     def current(self) -> dict | None:
-        path, fs = self._path("current")
-        if not fs.exists(path):
+        """The highest pointer: pointers are never moved or deleted, so a reader always finds one."""
+        names = self._pointers()
+        if not names:
             return None
-        meta = json.loads(self.spark.read.text(f"{self.root}/current").first()[0])
+        meta = json.loads(self.spark.read.text(f"{self.root}/{names[-1]}").first()[0])
         if meta["schema"] > SCHEMA_VERSION:
             raise ValueError(f"store has schema {meta['schema']}, newer than {SCHEMA_VERSION}")
         return meta
 
     def publish(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-        """Write the next generation and move the pointer; `expected` must be the generation it was made from."""
+        """Write the next generation, then its pointer; `expected` must be the generation it was made from. Of two publishers of one generation the second fails."""
         now = self.current()
         generation = now["generation"] if now else 0
         if expected is not None and expected != generation:
@@ -138,11 +150,10 @@ class Store:
         stream = fs.create(staged)
         stream.write(bytearray((json.dumps(meta) + "\n").encode()))
         stream.close()
-        final, _ = self._path("current")
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(staged, final):
-            raise RuntimeError("the pointer could not be moved")
+        final, _ = self._path(f"current-{generation + 1:012d}")
+        if fs.exists(final) or not fs.rename(staged, final):
+            fs.delete(staged, False)
+            raise RuntimeError(f"generation {generation + 1} has been published by another")
         return generation + 1
 
     def table(self, name: str) -> DataFrame:
@@ -176,14 +187,14 @@ def unused_components(parsed: DataFrame, tables: dict[str, DataFrame], ignore_gl
 def prop_impact(parsed: DataFrame, tables: dict[str, DataFrame], target: str) -> DataFrame:
     """Per declared prop of a component: usages, files and omissions by its renders; a spread makes an omission uncertain."""
     own = parsed.filter(F.col("path") == target)
-    props = own.select(F.explode("contract.props").alias("p")).select("p.name", "p.required", names.kebab_attribute(F.col("p.name")).alias("key"))
     consumers = tables["edges"].filter((F.col("child") == target) & F.col("is_rendered")).select(F.col("parent").alias("path")).distinct()
     name = own.select(F.col("name").alias("component"))
     uses = parse.table(parsed, "rendered").join(consumers, "path", "left_semi").join(name, names.matches(F.element_at(F.split("tag", r"\."), -1), F.col("component")))
     uses = uses.withColumn("use", F.xxhash64("path", "line", "tag", F.to_json("props"))).withColumn("spread", F.exists("props", lambda p: p["is_spread"]))
     given = uses.select("use", "path", F.explode("props").alias("p")).select("use", "path", names.kebab_attribute(F.col("p.prop")).alias("key")).distinct()
-    # a component's props are few: every render is set against each of them
-    grid = uses.select("use", "path", "spread").distinct().join(props)
+    # every render carries the component's own props, which stand in one row
+    declared = own.select(F.col("path").alias("component_path"), F.transform("contract.props", lambda p: F.struct(p["name"].alias("name"), p["required"].alias("required"), names.kebab_attribute(p["name"]).alias("key"))).alias("props"))
+    grid = uses.select("use", "path", "spread", F.lit(target).alias("component_path")).distinct().join(F.broadcast(declared), "component_path").select("use", "path", "spread", F.explode("props").alias("p")).select("use", "path", "spread", "p.*")
     joined = grid.join(given.withColumn("given", F.lit(True)), ["use", "path", "key"], "left")
     return joined.groupBy("name", "required").agg(
         F.count_if(F.col("given").isNotNull()).alias("usages"),

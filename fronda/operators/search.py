@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fronda.operators.graph import saved
+
 
 def has_keywords(text: Column, keywords: list[str], every: bool = True) -> Column:
     """Literal pre-filter that runs before any parsing."""
@@ -27,16 +29,17 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def budget_prefix(rows: DataFrame, order: list[str], size: str, max_bytes: int, reserve: int = 256, block_rows: int = 50_000) -> DataFrame:
-    """The longest prefix in `order` whose sizes and the reserve fit the budget, with the running total.
+def budget_prefix(rows: DataFrame, order: list[str], size: str, max_bytes: int, reserve: int = 256) -> DataFrame:
+    """The longest prefix in `order` whose sizes and the reserve fit the budget, with the running total; a null size counts nothing.
 
-    A prefix of at most max_bytes / smallest size rows can fit, so only that many
-    are ordered: the window sees a bounded top, never the table.
+    Rows are dealt by ranges of the order and written once; totals of whole ranges
+    tell in which range the budget ends, and only ranges up to that one are ordered.
     """
-    least = rows.agg(F.min(size)).first()[0]
-    if least is None:
-        return rows.withColumn("running", F.lit(None).cast("long")).limit(0)
-    most = min(block_rows, max_bytes // max(1, least) + 1)
-    top = rows.orderBy(*order).limit(int(most))
-    total = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("running", total).filter(F.col("running") + reserve <= max_bytes)
+    part = "__fronda_range"
+    dealt = saved(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = dealt.groupBy(part).agg(F.sum(size).alias("total"))
+    # one row a range
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+    near = dealt.join(F.broadcast(before), part).filter(F.col("before") + reserve <= max_bytes)
+    total = F.coalesce(F.sum(size).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return near.withColumn("running", F.col("before") + total).filter(F.col("running") + reserve <= max_bytes).drop(part, "before")

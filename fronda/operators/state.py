@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fronda.functions.paths import same_boundary
 from fronda.operators.graph import nearest_depths
@@ -53,8 +52,9 @@ def summarize(observations: DataFrame, keys: list[str]) -> DataFrame:
 def state_impact(observations: DataFrame, files: DataFrame, identifier: str, role: str = "all") -> DataFrame:
     """Consumers of one identifier; a role limits the rows, not the counts of mutators and readers."""
     rows = summarize(observations.filter(F.col("identifier") == identifier), ["path"]).join(files.select("path", "is_page"), "path")
-    every = Window.partitionBy("state_identifier")
-    rows = rows.withColumn("mutators", F.count_if(F.col("role") == "mutator").over(every)).withColumn("readers", F.count_if(F.col("role") == "reader").over(every))
+    # one row for the identifier
+    counts = rows.groupBy("state_identifier").agg(F.count_if(F.col("role") == "mutator").alias("mutators"), F.count_if(F.col("role") == "reader").alias("readers"))
+    rows = rows.join(F.broadcast(counts), "state_identifier")
     return rows if role == "all" else rows.filter(F.col("role") == {"mutators": "mutator", "readers": "reader"}[role])
 
 

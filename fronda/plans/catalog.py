@@ -56,7 +56,7 @@ _BUSIEST = "(SELECT child FROM edges_events GROUP BY child ORDER BY count(*) DES
     )
 )
 def blast_radius(spark, d):
-    edges = V.edges_events(spark, d)
+    edges = graph.saved(V.edges_events(spark, d))
     found = graph.blast_radius(edges, _busiest(edges), 4)
     return found.join(V.user_files(spark, d), "path").select("path", "framework", "is_page", F.col("depth").cast("long").alias("depth"))
 
@@ -120,7 +120,7 @@ def _tree_sql(frm: str, to: str) -> str:
 
 
 def _tree(spark, d, down):
-    edges = V.edges_events(spark, d)
+    edges = graph.saved(V.edges_events(spark, d))
     found = graph.tree_paths(edges, _busiest(edges), 3, down)
     return found.select("node", "parent", F.col("depth").cast("long").alias("depth"), F.concat_ws(">", "path").alias("branch"), "circular")
 
@@ -257,15 +257,15 @@ def state_chain_dependencies(spark, d):
 
 @query(
     with_views(
-        """+declared AS (SELECT DISTINCT identifier, path FROM state_deps WHERE access_mode = 'write' AND id % 7 = 0), used AS (SELECT * FROM state_deps WHERE access_mode = 'watch' AND id % 97 = 5)
+        """+declared AS (SELECT DISTINCT identifier, path FROM state_deps WHERE access_mode = 'write'), used AS (SELECT * FROM state_deps WHERE access_mode = 'watch')
         SELECT identifier, path FROM declared x WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.identifier = x.identifier AND u.path <> x.path)""",
         "state_deps",
     )
 )
 def dead_state(spark, d):
     deps = V.state_deps(spark, d)
-    declared = deps.filter("access_mode = 'write' AND id % 7 = 0").select("identifier", "path").distinct()
-    return state.dead_state(declared, deps.filter("access_mode = 'watch' AND id % 97 = 5"))
+    declared = deps.filter("access_mode = 'write'").select("identifier", "path").distinct()
+    return state.dead_state(declared, deps.filter("access_mode = 'watch'"))
 
 
 @query(
@@ -365,12 +365,16 @@ def route_params(spark, d):
     )
 )
 def route_best_match(spark, d):
+    """Patterns meet URLs of their first segment and depth; those that take the rest of a path meet every depth."""
     r = V.routes(spark, d)
     first = lambda c: F.split(c, "/").getItem(1)
     patterns = r.select("pattern").union(r.select(F.concat(F.lit("/"), first(F.col("pattern")), F.lit("/[...rest]")))).distinct()
-    ranked = patterns.select("pattern", first(F.col("pattern")).alias("top"), paths.route_regex(F.col("pattern")).alias("regex"), F.size(paths.route_params(F.col("pattern"))).alias("n"))
-    met = r.select("page_id", "url_path", first(F.col("url_path")).alias("top")).join(ranked, "top").filter(F.expr("url_path RLIKE regex"))
-    return met.groupBy("page_id", "url_path").agg(F.min_by("pattern", F.struct("n", -F.length("pattern"), "pattern")).alias("pattern"))
+    depth = F.when(F.col("pattern").contains("[..."), -1).otherwise(F.size(F.split("pattern", "/")))
+    ranked = patterns.select("pattern", first(F.col("pattern")).alias("top"), depth.alias("depth"), paths.route_regex(F.col("pattern")).alias("regex"), F.size(paths.route_params(F.col("pattern"))).alias("n"))
+    urls = r.select("url_path").distinct().select("url_path", first(F.col("url_path")).alias("top"), F.explode(F.array(F.lit(-1), F.size(F.split("url_path", "/")))).alias("depth"))
+    met = urls.join(ranked, ["top", "depth"]).filter(F.expr("url_path RLIKE regex"))
+    best = met.groupBy("url_path").agg(F.min_by("pattern", F.struct("n", -F.length("pattern"), "pattern")).alias("pattern"))
+    return r.select("page_id", "url_path").join(best, "url_path").select("page_id", "url_path", "pattern").distinct()
 
 
 @query(
@@ -465,7 +469,7 @@ def tag_inventory(spark, d):
 
 @query(
     with_views(
-        """+catalog AS (SELECT 'u/' || user_id AS path, 'k' || (user_id // 10 % 25) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)), uses AS (SELECT DISTINCT path, identifier FROM state_deps),
+        """+catalog AS (SELECT 'u/' || user_id AS path, 'k' || (user_id // 2) AS key FROM (SELECT DISTINCT user_id FROM events)), uses AS (SELECT DISTINCT path, identifier FROM state_deps),
         met AS (SELECT u.path, u.identifier, c.path AS target, count(*) OVER (PARTITION BY u.path, u.identifier) AS n FROM uses u JOIN catalog c ON c.key = u.identifier AND c.path <> u.path
         WHERE NOT EXISTS (SELECT 1 FROM edges_events e WHERE e.parent = u.path AND e.child = c.path)) SELECT path, identifier, target FROM met WHERE n = 1""",
         "state_deps", "edges_events",
@@ -473,12 +477,11 @@ def tag_inventory(spark, d):
 )
 def auto_import_unique(spark, d):
     """Names that resolve to exactly one candidate that is not the file itself and not imported already."""
-    users = V.table(spark, d, "events").filter("user_id % 10 = 0").select("user_id").distinct()
-    catalog = users.select(F.concat(F.lit("u/"), "user_id").alias("target"), F.concat(F.lit("k"), F.floor(F.col("user_id") / 10) % 25).alias("identifier"))
-    met = V.state_deps(spark, d).select("path", "identifier").distinct().join(catalog, "identifier").filter("path <> target")
+    users = V.table(spark, d, "events").select("user_id").distinct()
+    catalog = users.select(F.concat(F.lit("u/"), "user_id").alias("target"), F.concat(F.lit("k"), F.floor(F.col("user_id") / 2)).alias("key"))
+    uses = V.state_deps(spark, d).select("path", F.col("identifier").alias("key")).distinct()
     imported = V.edges_events(spark, d).select(F.col("parent").alias("path"), F.col("child").alias("target"))
-    rest = met.join(imported, ["path", "target"], "left_anti")
-    return rest.groupBy("path", "identifier").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1").select("path", "identifier", "target")
+    return graph.unique_candidates(uses, catalog, imported).withColumnRenamed("key", "identifier")
 
 
 @query(

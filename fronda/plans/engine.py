@@ -31,18 +31,17 @@ class Workspace:
         if meta is None or rebuild:
             parsed, counts, n = parse.parsed(scan), None, None
         else:
-            old = self.store.table("parsed")
-            change = sync.classify(old, scan).cache()
-            counts = change.groupBy("change").count().collect()
-            counts = {r["change"]: r["count"] for r in counts}
+            old, links = self.store.table("parsed"), self.store.table("file_dependencies")
+            change = graph.saved(sync.classify(old, scan))
+            counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
             if not counts.keys() - {"unchanged"}:
-                change.unpersist()
                 return {**dict.fromkeys(("added", "modified", "deleted"), 0), **counts, "parsed": 0, "generation": meta["generation"]}
-            fresh = change.filter(F.col("change").isin("added", "modified")).select("path")
-            gone = change.filter("change = 'deleted'").select("path")
-            todo = scan.join(fresh, "path", "left_semi")
+            moved = change.filter("change <> 'unchanged'").select("path")
+            # what depends on a change, over any number of steps, is parsed again with it
+            stale = graph.reverse_closure(links, moved.unionByName(sync.stale_dependents(links, scan)))
+            todo = scan.join(stale, "path", "left_semi")
             n = todo.count()
-            kept = old.join(fresh.unionByName(gone), "path", "left_anti")
+            kept = old.join(stale, "path", "left_anti")
             parsed = kept.unionByName(parse.parsed(todo).select(*kept.columns))
         # a lineage cut: the graph is built from what is written
         staged = f"{graph.shared_folder(self.spark)}/fronda-parsed-{evidence.identity([self.root, (meta or {}).get('generation')])[:16]}"

@@ -15,19 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def edges_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cyclic edges: a user consumes the user of the previous event of the same type and day."""
+    """Cyclic edges: a user consumes the user of the previous event of the same type and hour."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    pairs = e.withColumn("parent", F.lag("user_id").over(w)).filter("event_id % 8 = 0 AND parent <> user_id")
+    w = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    pairs = e.withColumn("parent", F.lag("user_id").over(w)).filter("parent <> user_id")
     return pairs.select(F.concat(F.lit("u/"), "parent").alias("parent"), F.concat(F.lit("u/"), "user_id").alias("child")).distinct()
 
 
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with import type and rendered flag, before first-writer-wins; seq is the write order."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    w = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "click", "dynamic").when(F.col("event_type") == "view", "static").otherwise("auto")
-    rows = e.withColumn("parent", F.lag("user_id").over(w)).filter("event_id % 4 = 0 AND parent <> user_id")
+    rows = e.withColumn("parent", F.lag("user_id").over(w)).filter("parent <> user_id")
     return rows.select(
         F.concat(F.lit("u/"), "parent").alias("parent"),
         F.concat(F.lit("u/"), "user_id").alias("child"),
@@ -148,10 +148,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "edges_events": """SELECT DISTINCT 'u/' || parent AS parent, 'u/' || user_id AS child FROM (SELECT event_id, user_id, lag(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS parent FROM events)
-        WHERE event_id % 8 = 0 AND parent <> user_id""",
+    "edges_events": """SELECT DISTINCT 'u/' || parent AS parent, 'u/' || user_id AS child FROM (SELECT event_id, user_id, lag(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS parent FROM events)
+        WHERE parent <> user_id""",
     "typed_edges": """SELECT 'u/' || parent AS parent, 'u/' || user_id AS child, CASE event_type WHEN 'click' THEN 'dynamic' WHEN 'view' THEN 'static' ELSE 'auto' END AS import_type, event_id % 3 = 0 AS is_rendered, event_id AS seq
-        FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS parent FROM events) WHERE event_id % 4 = 0 AND parent <> user_id""",
+        FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS parent FROM events) WHERE parent <> user_id""",
     "user_files": """SELECT DISTINCT 'u/' || user_id AS path, CASE user_id % 3 WHEN 0 THEN 'vue' WHEN 1 THEN 'react' ELSE 'svelte' END AS framework, user_id % 10 = 0 AS is_page, user_id % 17 = 0 AS is_layout FROM events""",
     "edges_tpch": """SELECT 'nation/' || n_nationkey AS parent, 'region/' || n_regionkey AS child FROM nation UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer
         UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION ALL SELECT 'orders/' || o_orderkey, 'customer/' || o_custkey FROM orders""",

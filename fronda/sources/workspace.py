@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fronda.functions.paths import is_config
+
 MAX_BYTES = 8 << 20
 
 #: File kinds that are collected.
@@ -25,11 +27,6 @@ IGNORED_DIRS = (
     "logs", "tmp", "temp", "artifacts", "benchmarks", "benchmark",
 )
 
-#: File names that count as configuration.
-CONFIG_FILES = ("package.json", "tsconfig.json", "jsconfig.json", ".gitignore", "nuxt.config.mjs", "next.config.mjs", "astro.config.mjs")
-CONFIG_PATTERNS = (r"(?i)^(tsconfig|jsconfig)(\..+)?\.json$", r"(?i)^(nuxt|next|astro|svelte|vite)\.config\.(ts|js|mjs|cjs|mts)$")
-
-
 def relative(root: str) -> Column:
     """Path below `root`, with forward slashes."""
     bare = re.sub(r"^file:/*", "/", root.rstrip("/"))
@@ -37,14 +34,6 @@ def relative(root: str) -> Column:
     return F.when(path.startswith(bare + "/"), path.substr(F.lit(len(bare) + 2), F.length(path))).otherwise(path)
 
 
-def is_config(path: Column) -> Column:
-    base = F.element_at(F.split(path, "/"), -1)
-    out = base.isin(*CONFIG_FILES)
-    for p in CONFIG_PATTERNS:
-        out = out | base.rlike(p)
-    return out
-
-
 def _rule(line: str, folder: str) -> tuple[str, bool] | None:
     """Regex of an ignore rule over relative paths, and whether it takes files back in."""
     line = line.rstrip("\r\n").rstrip()
@@ -153,10 +142,23 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, respe
 
 
 def exclusions(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """(path, reason) of the outermost folder that keeps files out, each once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(relative(root).alias("path"))
-    reason = exclusion(F.col("path"), exclude, ignore_rules(spark, root))
-    return files.select(F.substring_index("path", "/", 1).alias("path"), reason.alias("reason")).filter("reason IS NOT NULL").groupBy("path").agg(F.min("reason").alias("reason")).orderBy("path")
+    """(path, reason) of the outermost folder or file that is left out, each once; too-large: a source file that is refused for its size."""
+    rules = ignore_rules(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(relative(root).alias("path"), "length")
+    parts = F.split("path", "/")
+    last = F.size(parts)
+    # every folder above a file, with a slash at its end, then the file
+    above = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < last, "/").otherwise("")))
+    marked = F.transform(above, lambda p: F.struct(F.regexp_replace(p, "/$", "").alias("path"), exclusion(p, exclude, rules).alias("reason")))
+    first = F.element_at(F.filter(marked, lambda m: m["reason"].isNotNull()), 1)
+    wanted = "(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$"
+    large = F.when(F.col("path").rlike(wanted) & (F.col("length") > MAX_BYTES), F.struct("path", F.lit("too-large").alias("reason")))
+    found = files.filter(first_exists(marked) | large.isNotNull()).select(F.coalesce(F.when(first_exists(marked), first), large).alias("x"))
+    return found.select("x.path", "x.reason").distinct().orderBy("path")
+
+
+def first_exists(marked: Column) -> Column:
+    return F.exists(marked, lambda m: m["reason"].isNotNull())
 
 
 def page(files: DataFrame, offset: int = 0, limit: int = 500) -> DataFrame:

@@ -6,16 +6,19 @@ hash.  A node is split along its widest metadata dimension (weighted standard
 deviation of log size, source and language, each scaled to [0, 1)) at the
 weighted median, or the weighted quantile for an uneven number of leaves.  The
 quantile is found exactly to 33 bits by three histogram passes of 2,048 bins for
-all nodes of a level at once, so only a bounded table reaches the driver and
-no node is ever gathered into one task.  Low bits of a coordinate are a hash of
-the text, which breaks ties between equal metadata.
+all nodes of a level at once; the first pass also brings the moments of all
+dimensions.  Only histograms reach the driver (2,048 rows a node, three times
+that in the first pass, and a tree has fewer than 2 * shards nodes), and no node
+is ever gathered into one task.  Low bits of a coordinate are a hash of the text,
+which breaks ties between equal metadata.
 
 Law kept: `bytes`.  Equal texts share a shard unless their group was cut.
 
 Edge cases: a null or empty text weighs 8 bytes; null source or language is a
 value of its own; null doc_ids hash alike; repeated rows each get their own
-slot; extra columns are ignored; an empty table gives no rows; with fewer
-points than shards some shards stay empty.
+slot; ties of a dimension's spread go to the first dimension; extra columns are
+ignored; an empty table gives no rows; with fewer points than shards some shards
+stay empty; of a very long text only its length and hashes are used.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ SHARDS = 24
 HOT = 8
 BITS = 33
 RADIX = 11
-SUB_BUCKETS = 64
+SUB_ROWS = 50_000  # rows of a shard whose slots are numbered by one task, about
 DIMS = ("by_size", "by_source", "by_lang")
 
 
@@ -44,67 +47,79 @@ def _unit(name: str) -> Column:
     return F.pmod(F.xxhash64(F.col(name).isNull(), F.coalesce(F.col(name), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
 
 
-def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """A small table (at most one row per tree node) as a literal relation."""
-    body = ", ".join("(" + ", ".join(f"{v}D" if isinstance(v, float) else f"{v}L" for v in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+def _at(values: dict[int, int | float | None], level: int, node: Column, kind: str) -> Column:
+    """The value of each row's node, all of one level, from a constant array; null for nodes without one."""
+    size = 1 << level
+    table = F.array(*[F.lit(values.get(size + i)).cast(kind) for i in range(size)])
+    return F.get(table, node - size)
 
 
-def _key() -> Column:
-    return F.when(F.col("dim") == 0, F.col(DIMS[0])).when(F.col("dim") == 1, F.col(DIMS[1])).otherwise(F.col(DIMS[2]))
+def _key(dim: Column) -> Column:
+    return F.when(dim == 0, F.col(DIMS[0])).when(dim == 1, F.col(DIMS[1])).otherwise(F.col(DIMS[2]))
 
 
-def _descend(points: DataFrame, levels: list[dict[int, tuple[int, int]]]) -> DataFrame:
-    """`points` with the tree node each falls into; levels: split dimension and last key to go left, of each split node."""
-    points = points.withColumn("node", F.lit(1).cast("long"))
-    for level in levels:
-        rules = F.broadcast(_values(points.sparkSession, [(k, *r) for k, r in sorted(level.items())], "node, dim, last"))
-        node = F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + (_key() > F.col("last")).cast("long"))
-        points = points.join(rules, "node", "left").withColumn("node", node).drop("dim", "last")
-    return points
+def _split(points: DataFrame, rules: dict[int, tuple[int, int]], level: int) -> DataFrame:
+    """`points` with every node of a level that has a rule (dimension, last key to go left) split in two."""
+    deep = F.col("node") >= 1 << level  # others are leaves of a level above
+    ruled = points.withColumn("dim", F.when(deep, _at({k: r[0] for k, r in rules.items()}, level, F.col("node"), "int"))).withColumn("last", F.when(deep, _at({k: r[1] for k, r in rules.items()}, level, F.col("node"), "long")))
+    return ruled.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + (_key(F.col("dim")) > F.col("last")).cast("long"))).drop("dim", "last")
 
 
-def kd_rules(points: DataFrame, shards: int) -> tuple[list[dict[int, tuple[int, int]]], dict[int, int]]:
-    """Splits of the K-d tree by level and the shard of each leaf, for points (weight, *DIMS)."""
-    spark = points.sparkSession
-    leaves, levels, first = {1: shards}, [], {1: 0}
+def _quantile(bins: list[tuple[int, float]], gone: float, want: float, last: bool) -> tuple[int | None, float]:
+    """The bin that holds the quantile, or in the last pass the first item that belongs to the right, and the weight before it; None if none does."""
+    for b, w in sorted(bins):
+        if gone + (w / 2 if last else w) > want:
+            return b, gone
+        gone += w
+    return None, gone
+
+
+def kd_tree(points: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame, dict[int, int], int]:
+    """`points` (size, *DIMS, ...) with the leaf `node` of each, the shard of each leaf, and the number of levels.
+
+    The nodes of a level are written with the points, so a plan holds one level only.
+    """
+    leaves, n, first = {1: shards}, 0, {1: 0}
+    whole = points.withColumn("node", F.lit(1).cast("long"))
     while any(m > 1 for m in leaves.values()):
         todo = [k for k, m in leaves.items() if m > 1]
-        at = _descend(points, levels)
-        moments = [F.sum("weight").alias("w")]
-        for d in DIMS:
-            x = F.col(d) / float(1 << BITS)
-            moments += [F.sum(F.col("weight") * x).alias(f"{d}_1"), F.sum(F.col("weight") * x * x).alias(f"{d}_2")]
-        dim, want = {k: 0 for k in todo}, {k: 0.0 for k in todo}
-        low, gone = {k: 0 for k in todo}, {k: 0 for k in todo}
-        for r in at.groupBy("node").agg(*moments).collect():  # one row per node
-            if (k := r["node"]) in dim:
-                spread = [max(0.0, r[f"{d}_2"] / r["w"] - (r[f"{d}_1"] / r["w"]) ** 2) for d in DIMS]
-                dim[k] = max(range(len(DIMS)), key=lambda i: (spread[i], -i))
-                want[k] = r["w"] * (leaves[k] // 2) / leaves[k]
+        at = whole.select("node", F.col("size").alias("weight"), *DIMS).filter(F.col("node").isin(todo))
+        x = F.col("d.key") / float(1 << BITS)
+        each = at.select("node", "weight", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("key")) for i, d in enumerate(DIMS)])).alias("d"))
+        top = each.groupBy("node", F.col("d.dim").alias("dim"), F.shiftright("d.key", BITS - RADIX).alias("bin"))
+        bins: dict[tuple[int, int], list] = {}
+        for r in top.agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * x).alias("m1"), F.sum(F.col("weight") * x * x).alias("m2")).collect():
+            bins.setdefault((r["node"], r["dim"]), []).append(r)
+        dim, want, low, gone = {}, {}, dict.fromkeys(todo, 0), dict.fromkeys(todo, 0.0)
+        for k in todo:
+            spread = []
+            for i in range(len(DIMS)):
+                own = bins.get((k, i), [])
+                w, m1, m2 = (sum(r[c] for r in sorted(own, key=lambda r: r["bin"])) for c in ("w", "m1", "m2"))
+                spread.append(max(0.0, m2 / w - (m1 / w) ** 2) if w else 0.0)
+                want[k] = w * (leaves[k] // 2) / leaves[k]
+            dim[k] = max(range(len(DIMS)), key=lambda i: (spread[i], -i))
+        found = {k: [(r["bin"], r["w"]) for r in bins.get((k, dim[k]), [])] for k in todo}
         for shift in range(BITS - RADIX, -1, -RADIX):
-            info = F.broadcast(_values(spark, [(k, dim[k], low[k], gone[k], float(want[k])) for k in todo], "node, dim, low, gone, want"))
-            keyed = at.join(info, "node").withColumn("key", _key()).filter(F.shiftright("key", shift + RADIX) == F.shiftright("low", shift + RADIX))
-            bins = keyed.groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("weight").alias("w"), F.first("gone").alias("gone"), F.first("want").alias("want"))
-            upto = F.col("gone") + F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
-            # the bin that holds the quantile; in the last pass, the first item that belongs to the right
-            past = F.col("upto") - (F.col("w") / 2 if shift == 0 else F.lit(0)) > F.col("want")
-            found = bins.withColumn("upto", upto).groupBy("node").agg(
-                F.min(F.when(past, F.col("bin"))).alias("bin"), F.min(F.when(past, F.col("upto") - F.col("w"))).alias("gone"), F.max("bin").alias("last"), F.max("upto").alias("all")
-            )
-            for r in found.collect():  # one row per node
-                k = r["node"]
-                if r["bin"] is not None:
-                    low[k], gone[k] = (r["bin"] << shift) - (shift == 0), r["gone"]
-                else:
-                    low[k] = ((r["last"] + 1) << shift) - (shift == 0)
-                    gone[k] = r["all"]
-        levels.append({k: (dim[k], low[k]) for k in todo})
+            if shift < BITS - RADIX:
+                node = F.col("node")
+                keyed = at.withColumn("key", _key(_at(dim, n, node, "int"))).filter(F.shiftright("key", shift + RADIX) == F.shiftright(_at(low, n, node, "long"), shift + RADIX))
+                found = {k: [] for k in todo}
+                for r in keyed.groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("weight").alias("w")).collect():
+                    found[r["node"]].append((r["bin"], r["w"]))
+            for k in todo:
+                b, gone[k] = _quantile(found[k], gone[k], want[k], shift == 0)
+                if b is None:
+                    b = max((i for i, _ in found[k]), default=-1) + 1
+                low[k] = (b << shift) - (shift == 0)
+        whole = scratch.save(_split(whole, {k: (dim[k], low[k]) for k in todo}, n), f"level{n}")
+        scratch.drop(f"level{n - 1}")
+        n += 1
         for k in todo:
             m = leaves.pop(k)
             leaves |= {2 * k: m // 2, 2 * k + 1: m - m // 2}
             first |= {2 * k: first[k], 2 * k + 1: first[k] + m // 2}
-    return levels, {k: first[k] for k in leaves}
+    return whole, {k: first[k] for k in leaves}, n
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -125,7 +140,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     )
     group = ["text_hash", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     shards = shards or max(1, -(-total // (target_bytes or total or 1)))
     most = max(1, total // (shards * HOT))
     groups = groups.withColumn("pieces", F.when(F.col("bytes") > F.lit(2) * F.col("size") - 1, F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(most)))).otherwise(F.lit(1)).cast("long"))
@@ -145,13 +160,22 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         ),
         "placed",
     )
-    points = scratch.save(placed.groupBy(*DIMS).agg(F.sum("size").alias("weight")), "points")
-    levels, shard_of = kd_rules(points, shards)
-    scratch.drop("rows", "groups", "points")
-    numbers = F.broadcast(_values(spark, sorted(shard_of.items()), "node, number"))
-    sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(SUB_BUCKETS)).alias("sub")
-    out = _descend(placed, levels).join(numbers, "node").select("doc_id", "size", "text_crc32", F.col("number").cast("int").alias("shard"), sub)
-    # slots: a bounded table of first slots (shards x SUB_BUCKETS rows), then a rank within each sub-bucket
+    whole, shard_of, n_levels = kd_tree(placed, shards, scratch)
+    scratch.drop("rows", "groups", *(["placed"] if n_levels else []))
+    subs = max(1, -(-n_rows // (shards * SUB_ROWS)))
+    sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(subs)).alias("sub")
+    top = 1 << n_levels
+    # a leaf's number by its place on the last level; leaves above it stand for all places below them
+    table = {}
+    for k, number in shard_of.items():
+        deep = n_levels + 1 - k.bit_length()
+        table |= dict.fromkeys(range(k << deep, (k + 1) << deep), number)
+    leaf = F.col("node")
+    for n in range(n_levels):
+        leaf = F.when((F.col("node") >= 1 << n) & (F.col("node") < 2 << n), F.shiftleft("node", n_levels - n)).otherwise(leaf)
+    numbered = whole.withColumn("leaf", leaf)
+    out = numbered.select("doc_id", "size", "text_crc32", F.get(F.array(*[F.lit(table[top + i]) for i in range(top)]), F.col("leaf") - top).cast("int").alias("shard"), sub)
+    # slots: a small table of first slots (a row a sub-bucket), then a rank within each sub-bucket
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     firsts = out.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size"))

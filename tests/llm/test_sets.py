@@ -109,6 +109,40 @@ def exact_neighbours(rows, k=10, every=100):
             yield q, far[:k]
 
 
+def plain_kd(points, shards, first=0):
+    """Shard of each point (weight, *coordinates) by a K-d tree in memory."""
+    if shards == 1 or not points:
+        return dict.fromkeys(points, first)
+    total = sum(p[0] for p in points)
+    scale = float(1 << sharding.BITS)
+    mean = [sum(p[0] * p[1 + d] / scale for p in points) / total for d in range(3)]
+    spread = [sum(p[0] * (p[1 + d] / scale) ** 2 for p in points) / total - mean[d] ** 2 for d in range(3)]
+    dim = max(range(3), key=lambda d: (spread[d], -d))
+    weight = collections.Counter()
+    for p in points:
+        weight[p[1 + dim]] += p[0]
+    upto, right = 0, None
+    for key, w in sorted(weight.items()):
+        upto += w
+        if upto - w / 2 > total * (shards // 2) / shards:
+            right = key
+            break
+    left = [p for p in points if right is None or p[1 + dim] < right]
+    rest = [p for p in points if not (right is None or p[1 + dim] < right)]
+    return plain_kd(left, shards // 2, first) | plain_kd(rest, shards - shards // 2, first + shards // 2)
+
+
+@pytest.mark.parametrize(("n", "shards"), [(300, 7), (300, 24), (40, 5), (3, 6), (1, 2)])
+def test_kd_rules_equal_a_plain_tree(spark, n, shards):
+    rng = random.Random(n + shards)
+    coarse = lambda most: (rng.randrange(most) << 28) + rng.randrange(1 << 13)
+    points = list({(rng.randint(1, 500), coarse(32), coarse(5), coarse(3)) for _ in range(n)})
+    frame = spark.createDataFrame(points, "size long, " + ", ".join(f"{d} long" for d in sharding.DIMS))
+    whole, shard_of, _ = sharding.kd_tree(frame, shards, Scratch(spark))
+    found = {tuple(r[c] for c in ("size", *sharding.DIMS)): shard_of[r.node] for r in whole.collect()}
+    assert found == plain_kd(points, shards)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(600, 16))

@@ -334,7 +334,12 @@ def main_texts(pages: DataFrame, run: int = MIN_RUN, group: int = GROUP) -> Data
             out, by_run, by_rule = [], [], []
             for packed, windows in zip(*(batch.column(c).to_pylist() for c in ("packed", "windows")), strict=True):
                 texts = _unpack(packed)
-                repeated = np.array(windows or [], np.int64)
+                if not windows:  # a host without boilerplate runs
+                    out.append("\n\n".join(texts[0]))
+                    by_run.append(0)
+                    by_rule.append(sum(len(re.findall(r"[^ \t-\r]+", t)) for t in texts[1]))
+                    continue
+                repeated = np.array(windows, np.int64)
                 main, rest = (covered_words(_words(t), part, repeated, run) for part, t in enumerate(texts))
                 out.append("\n\n".join(unique_runs(texts[0], main) if main.any() else texts[0]))
                 by_run.append(int(main.sum() + rest.sum()))

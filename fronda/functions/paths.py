@@ -131,3 +131,37 @@ def endpoint(raw: Column) -> Column:
     x = F.regexp_replace(x, r"\$\{\s*(?:[A-Za-z_$][\w$]*\s*\??\.\s*)*([A-Za-z_$][\w$]*)\s*\}", ":$1")
     x = F.regexp_replace(x, r"['\"`]\s*\+\s*(?:[A-Za-z_$][\w$]*\.)*([A-Za-z_$][\w$]*)(?:\s*\+\s*['\"`])?", ":$1")
     return F.regexp_replace(x, r"(?<!:)/{2,}", "/")
+
+
+#: What a file of an app folder is, by its name without suffix.
+APP_FILES = {"page": "page", "layout": "layout", "loading": "loading", "error": "error", "global-error": "error", "not-found": "not-found", "template": "template", "default": "default"}
+
+
+def app_file_type(path: Column) -> Column:
+    """page, layout, api and so on of a file of an app folder; null for others."""
+    base = F.element_at(F.split(path, "/"), -1)
+    name, suffix = F.regexp_extract(base, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(base, r"^(.*)(\.[^.]+)$", 2)
+    kind = F.when((name == "route") & suffix.isin(".ts", ".js"), "api")
+    for own, title in APP_FILES.items():
+        kind = kind.when(name == own, title)
+    return F.when(suffix.isin(".tsx", ".jsx", ".js", ".ts"), kind)
+
+
+def name_rank(path: Column, identifier: str) -> Column:
+    """1 for a file named like the identifier, 2 for an index file below a folder of its name, 3 for a path that holds it; null for others. ASCII case does not count."""
+    low, name = F.concat(F.lit("/"), F.lower(path)), identifier.lower()
+    quoted = "\\Q" + name + "\\E"
+    return F.when(low.rlike(f"/{quoted}\\."), 1).when(low.rlike(f"/{quoted}/index\\."), 2).when(low.contains(name), 3)
+
+
+def semver(version: Column) -> Column:
+    """(major, minor, patch) of the first version number in a text; null without one."""
+    part = lambda i: F.regexp_extract(version, r"(\d+)\.(\d+)(?:\.(\d+))?", i)
+    number = lambda i: F.coalesce(F.try_to_number(part(i), F.lit("9999999999")).cast("long"), F.lit(0).cast("long"))
+    return F.when(part(1) != "", F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch")))
+
+
+def ancestors(path: Column) -> Column:
+    """Every folder above a path, nearest first, the root as ''."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

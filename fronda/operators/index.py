@@ -19,28 +19,24 @@ from pyspark.sql.window import Window
 from fronda.functions import names, paths
 from fronda.operators import parse
 from fronda.operators.graph import first_writer_wins, saved
+from fronda.sources.aliases import Alias, load, targets
 
 #: Suffixes tried for an import, in order.
 SUFFIXES = ("", ".vue", ".tsx", ".ts", ".jsx", ".js", ".astro", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue")
 SCHEMA_VERSION = 1
 
 
-def import_candidates(path: str, source: str, aliases: dict[str, str]) -> list[str]:
-    """Workspace paths an import may mean, best first; none for a package."""
-    base = None
+def import_candidates(path: str, source: str, known: list[Alias]) -> list[str]:
+    """Workspace paths an import may mean, best first; none for a package from elsewhere."""
     if source.startswith("."):
         base = posixpath.normpath(posixpath.join(posixpath.dirname(path), source))
-    else:
-        for prefix, target in sorted(aliases.items(), key=lambda a: -len(a[0])):
-            if source == prefix.rstrip("/") or source.startswith(prefix):
-                base = posixpath.normpath(posixpath.join(target, source[len(prefix) :].lstrip("/")))
-                break
-    return [] if base is None or base.startswith("..") else [base + s for s in SUFFIXES]
+        return [] if base.startswith("..") else [base + s for s in SUFFIXES]
+    return [base + s for base in targets(known, path, source) for s in SUFFIXES]
 
 
-def resolve(rows: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """`rows` (path, source, ...) with `target`, the first candidate that exists; null if none does."""
-    known = dict(aliases or {"@/": "src", "~/": ""})
+def resolve(rows: DataFrame, files: DataFrame, aliases: list[Alias] | dict[str, str] | None = None) -> DataFrame:
+    """`rows` (path, source, ...) with `target`, the first candidate that exists; null if none does. A mapping names prefixes and folders."""
+    known = [Alias("", f"{k}*", (f"{v}/*".lstrip("/"),)) for k, v in aliases.items()] if isinstance(aliases, dict) else list(aliases) if aliases is not None else load({})
 
     @F.pandas_udf("array<string>")
     def candidates(path: pd.Series, source: pd.Series) -> pd.Series:
@@ -76,7 +72,7 @@ def tag_matches(tag: Column, name: Column) -> Column:
     return names.matches(F.element_at(F.split(tag, r"\."), 1), name)
 
 
-def graph_tables(parsed: DataFrame, aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def graph_tables(parsed: DataFrame, aliases: list[Alias] | dict[str, str] | None = None) -> dict[str, DataFrame]:
     """files, components, edges, state_deps, routes and file_dependencies of a parsed scan."""
     files = parsed.select("path", "framework", "hash", "line_count", paths.is_page(F.col("path")).alias("is_page"), paths.is_layout(F.col("path")).alias("is_layout"))
     component = F.col("path").rlike(r"\.(vue|svelte|astro|tsx|jsx)$")
@@ -136,7 +132,7 @@ class Store:
             raise ValueError(f"store has schema {meta['schema']}, newer than {SCHEMA_VERSION}")
         return meta
 
-    def publish(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], expected: int | None = None, **notes: str) -> int:
         """Write the next generation, then its pointer; `expected` must be the generation it was made from. Of two publishers of one generation the second fails."""
         now = self.current()
         generation = now["generation"] if now else 0
@@ -145,7 +141,7 @@ class Store:
         folder = f"generation-{generation + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{name}")
-        meta = {"schema": SCHEMA_VERSION, "generation": generation + 1, "folder": folder, "tables": sorted(tables)}
+        meta = {"schema": SCHEMA_VERSION, "generation": generation + 1, "folder": folder, "tables": sorted(tables), **notes}
         staged, fs = self._path(f"pointer-{uuid.uuid4().hex}")
         stream = fs.create(staged)
         stream.write(bytearray((json.dumps(meta) + "\n").encode()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fronda.functions.paths import name_rank
+
 from fronda.functions.paths import same_boundary
 from fronda.operators.graph import nearest_depths
 
@@ -101,3 +103,20 @@ def consumers_of_importers(observations: DataFrame, edges: DataFrame, identifier
     """Files that are imported by users of an identifier."""
     users = observations.filter(F.col("identifier") == identifier).select(F.col("path").alias("parent"))
     return edges.join(users, "parent", "left_semi").select(F.col("child").alias("path")).distinct()
+
+
+ACCESS_MODES = ("read", "write", "watch")
+
+
+def refused_modes(observations: DataFrame) -> DataFrame:
+    """Observations whose access mode a store refuses."""
+    return observations.filter(~F.coalesce(F.col("access_mode").isin(*ACCESS_MODES), F.lit(False)))
+
+
+def declaring_file(files: DataFrame, declares: DataFrame, edges: DataFrame, observations: DataFrame, identifier: str) -> DataFrame:
+    """(path, step) of the file that declares an identifier (declares: path, identifier): first of files named like it, then of files that its consumers import, then of all."""
+    own = files.select("path").join(declares.filter(F.col("identifier") == identifier).select("path"), "path", "left_semi")
+    near = edges.join(observations.filter(F.col("identifier") == identifier).select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").select(F.col("child").alias("path")).distinct()
+    named = own.join(near.withColumn("near", F.lit(True)), "path", "left")
+    step = F.when(name_rank(F.col("path"), identifier) < 3, 1).when(F.col("near"), 2).otherwise(3)
+    return named.select("path", step.alias("step")).orderBy("step", "path").limit(1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +47,35 @@ def last_write_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select(*keys, "r.*")
 
 
+def config_fingerprint(configs: dict[str, str]) -> str:
+    """One hash over the configuration files, in path order."""
+    whole = hashlib.sha256()
+    for path, content in sorted(configs.items()):
+        own = hashlib.sha256(content.encode()).hexdigest()
+        whole.update((json.dumps([path, own], ensure_ascii=False, separators=(",", ":")) + "\n").encode())
+    return whole.hexdigest()
+
+
 def manifest_hash(files: DataFrame) -> DataFrame:
-    """One hash over all (path, hash) in path order; null if any hash is missing.
+    """SHA-256 over the JSON lines [path, hash] in path order; null if any hash is missing.
 
-    Built in two levels, 256 path ranges by hash prefix, so that no row holds a whole large manifest.
+    The hash is of one sequence, so the sorted lines pass through the driver, a
+    partition at a time; `manifest_tree_hash` is the parallel form.
     """
-    line = F.concat_ws("\t", "path", "hash")
-    part = F.substring(F.sha2(F.col("path"), 256), 1, 2)
-    leaves = files.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"), F.max(F.col("hash").isNull()).alias("missing"), F.count("*").alias("n"))
-    whole = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "h"))), "\n"), 256)
-    return leaves.agg(F.when(~F.max("missing"), whole).alias("manifest_hash"), F.sum("n").alias("files"))
+    whole, n, missing = hashlib.sha256(), 0, False
+    for r in files.orderBy("path").select(F.to_json(F.array("path", "hash")).alias("line"), F.col("hash").isNull().alias("missing")).toLocalIterator():
+        whole.update((r["line"] + "\n").encode())
+        n, missing = n + 1, missing or r["missing"]
+    return files.sparkSession.createDataFrame([(None if missing else whole.hexdigest(), n)], "manifest_hash string, files long")
+
+
+def manifest_tree_hash(files: DataFrame, leaf: int = 4096) -> DataFrame:
+    """One hash over all (path, hash), by levels of at most about `leaf` lines a row; null if any hash is missing."""
+    level = files.select(F.sha2(F.col("path"), 256).alias("part"), F.concat_ws("\t", "path", "hash").alias("line"), F.col("hash").isNull().alias("missing"), F.lit(1).cast("long").alias("n"))
+    digits = 0
+    while 16**digits * leaf < files.count():
+        digits += 1
+    for d in range(digits, -1, -1):
+        level = level.groupBy(F.substring("part", 1, d).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"), F.max("missing").alias("missing"), F.sum("n").alias("n"))
+        level = level.select("part", F.concat_ws(":", "part", "h").alias("line"), "missing", "n", "h")
+    return level.select(F.when(~F.col("missing"), F.col("h")).alias("manifest_hash"), F.col("n").alias("files"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fronda.functions import names, paths
 from fronda.operators import graph, patches, search, state, sync, telemetry
 from fronda.sources import graph_views as V
+from fronda.sources import workspace
 from fronda.sources.graph_views import with_views
 
 FLAGSHIP = "blast_radius"
@@ -324,13 +325,7 @@ def snapshot_merge(spark, d):
     return sync.merge(a, b)
 
 
-@query(
-    with_views(
-        """+leaves AS (SELECT substr(sha256(path), 1, 2) AS part, sha256(string_agg(path || chr(9) || hash, chr(10) ORDER BY path || chr(9) || hash)) AS h, count(*) AS n FROM snap_b GROUP BY 1)
-        SELECT sha256(string_agg(part || ':' || h, chr(10) ORDER BY part)) AS manifest_hash, CAST(sum(n) AS BIGINT) AS files FROM leaves""",
-        "snap_b",
-    )
-)
+@query(with_views("SELECT sha256(string_agg(CAST(to_json([path, hash]) AS VARCHAR) || chr(10), '' ORDER BY path)) AS manifest_hash, count(*) AS files FROM snap_b", "snap_b"))
 def manifest_hash(spark, d):
     return sync.manifest_hash(V.snapshots(spark, d)[1])
 
@@ -554,3 +549,58 @@ def patch_apply(spark, d):
     contents = V.table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
     applied = patches.apply(contents, patches.drop_overlaps(_patches(spark, d)))
     return applied.select("file", F.sha2("content", 256).alias("content_hash"))
+
+
+# ---------------------------------------------------------------- names and owners
+
+
+@query(
+    with_views(
+        """SELECT path, CASE WHEN regexp_matches('/' || path, '/order[^/]*/1\\.') THEN 0 WHEN regexp_matches('/' || lower(path), '/nation\\.') THEN 1 WHEN regexp_matches('/' || lower(path), '/nation/index\\.') THEN 2 ELSE 3 END AS place
+        FROM files_tpch WHERE contains(lower(path), 'nation')""".replace("\\\\", "\\"),
+        "files_tpch",
+    )
+)
+def candidate_order(spark, d):
+    files = V.files_tpch(spark, d)
+    return files.select("path", paths.name_rank(F.col("path"), "Nation").alias("place")).filter("place IS NOT NULL")
+
+
+@query(
+    """WITH named AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '^' || p_size || '.' || (p_partkey % 7) WHEN 1 THEN '~' || p_size || '.' || (p_partkey % 7) || '.' || (p_partkey % 100) ELSE 'latest' END AS version FROM part)
+    SELECT p_partkey, version, CAST(nullif(regexp_extract(version, '([0-9]+)\\.([0-9]+)(\\.([0-9]+))?', 1), '') AS BIGINT) AS major, CAST(nullif(regexp_extract(version, '([0-9]+)\\.([0-9]+)(\\.([0-9]+))?', 2), '') AS BIGINT) AS minor,
+    CASE WHEN version = 'latest' THEN NULL ELSE coalesce(CAST(nullif(regexp_extract(version, '([0-9]+)\\.([0-9]+)(\\.([0-9]+))?', 4), '') AS BIGINT), 0) END AS patch FROM named""".replace("\\\\", "\\")
+)
+def version_parts(spark, d):
+    k = F.col("p_partkey")
+    version = F.when(k % 3 == 0, F.concat(F.lit("^"), "p_size", F.lit("."), k % 7)).when(k % 3 == 1, F.concat(F.lit("~"), "p_size", F.lit("."), k % 7, F.lit("."), k % 100)).otherwise("latest")
+    named = V.table(spark, d, "part").select("p_partkey", version.alias("version"))
+    return named.withColumn("v", paths.semver(F.col("version"))).select("p_partkey", "version", "v.major", "v.minor", "v.patch")
+
+
+@query(
+    with_views(
+        """+folders AS (SELECT DISTINCT '/' || split_part(url_path, '/', 2) AS owner FROM routes WHERE regexp_matches(url_path, '[02468]$') UNION SELECT ''),
+        above AS (SELECT DISTINCT url_path, array_to_string(string_split(url_path, '/')[1:i], '/') AS owner, i FROM (SELECT url_path, unnest(range(0, len(string_split(url_path, '/')))) AS i FROM routes))
+        SELECT url_path AS path, arg_max(owner, i) AS owner FROM above JOIN folders USING (owner) GROUP BY url_path""",
+        "routes",
+    )
+)
+def nearest_owner(spark, d):
+    r = V.routes(spark, d)
+    configs = r.filter(F.col("url_path").rlike("[02468]$")).select(F.concat(F.lit("/"), F.split("url_path", "/").getItem(1), F.lit("/package.json")).alias("path")).union(spark.sql("SELECT 'package.json' AS path"))
+    return workspace.owners(r.select(F.col("url_path").alias("path")).distinct(), configs)
+
+
+@query(
+    with_views(
+        f"""+near AS (SELECT DISTINCT e.child AS path FROM edges_events e WHERE e.parent IN (SELECT path FROM state_deps WHERE identifier = '{IDENTIFIER}')),
+        own AS (SELECT DISTINCT s.path, CASE WHEN s.path IN (SELECT path FROM near) THEN 2 ELSE 3 END AS step FROM state_deps s WHERE identifier = '{IDENTIFIER}' AND access_mode = 'write')
+        SELECT path, step FROM own ORDER BY step, path LIMIT 1""",
+        "edges_events", "state_deps",
+    )
+)
+def declaring_file(spark, d):
+    deps = V.state_deps(spark, d)
+    declares = deps.filter("access_mode = 'write'").select("path", "identifier").distinct()
+    return state.declaring_file(V.user_files(spark, d), declares, V.edges_events(spark, d), deps, IDENTIFIER)

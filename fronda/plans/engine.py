@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fronda.operators import evidence, graph, index, outline, parse, patches, refactor, state, sync
-from fronda.sources import workspace
+from fronda.sources import aliases, workspace
 
 
 class Workspace:
@@ -16,8 +16,8 @@ class Workspace:
     publishes the next generation; every other operation reads the last one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, store: str, aliases: dict[str, str] | None = None):
-        self.spark, self.root, self.aliases = spark, root, aliases
+    def __init__(self, spark: SparkSession, root: str, store: str, known: dict[str, str] | None = None):
+        self.spark, self.root, self.aliases = spark, root, known
         self.store = index.Store(spark, store)
 
     # ------------------------------------------------------------ index
@@ -28,7 +28,10 @@ class Workspace:
     def sync(self, rebuild: bool = False) -> dict:
         """Counts of added, modified, deleted, unchanged and parsed files, and the generation."""
         scan, meta = self.files(), self.store.current()
-        if meta is None or rebuild:
+        config = self.configs()
+        fingerprint = sync.config_fingerprint(config)
+        # other aliases may resolve every import in another way
+        if meta is None or rebuild or meta.get("config") != fingerprint:
             parsed, counts, n = parse.parsed(scan), None, None
         else:
             old, links = self.store.table("parsed"), self.store.table("file_dependencies")
@@ -47,12 +50,18 @@ class Workspace:
         staged = f"{graph.shared_folder(self.spark)}/fronda-parsed-{evidence.identity([self.root, (meta or {}).get('generation')])[:16]}"
         parsed.write.mode("overwrite").parquet(staged)
         parsed = self.spark.read.parquet(staged)
-        tables = index.graph_tables(parsed, self.aliases)
-        generation = self.store.publish({"parsed": parsed, **tables}, meta["generation"] if meta else None)
+        known = aliases.load(config) if self.aliases is None else self.aliases
+        tables = index.graph_tables(parsed, known)
+        generation = self.store.publish({"parsed": parsed, **tables}, meta["generation"] if meta else None, config=fingerprint)
         total = parsed.count()
         counts = counts or {"added": total}
         return {**dict.fromkeys(("added", "modified", "deleted", "unchanged"), 0), **counts, "parsed": total if n is None else n, "generation": generation}
 
+    def configs(self) -> dict[str, str]:
+        """Text of every configuration file, by path; they are few."""
+        found = workspace.scan(self.spark, self.root, configs=True).filter("config").select("path", "content")
+        return {r["path"]: r["content"] for r in found.collect()}
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.store.table(name) for name in self.store.current()["tables"]}
 
@@ -100,13 +109,14 @@ class Workspace:
         return graph.tree_paths(edges, roots, max_depth, direction == "down")
 
     def blast_radius(self, path: str, max_depth: int = 5) -> DataFrame:
-        return graph.blast_radius(self.store.table("edges"), self.spark.createDataFrame([(path,)], "path string"), max_depth)
+        found = graph.blast_radius(self.store.table("edges"), self.spark.createDataFrame([(path,)], "path string"), max_depth)
+        return found.join(self.store.table("files").select("path", "framework", "is_page"), "path", "left").orderBy("depth", F.col("is_page").desc(), "path")
 
     def trace_state(self, identifier: str, mode: str = "impact", max_depth: int = 3, role: str = "all") -> DataFrame:
         t = self.tables()
         observed = t["state_deps"].withColumn("id", F.xxhash64("path", "identifier", "line_number", "usage_snippet"))
         if mode == "impact":
-            return state.state_impact(observed, t["files"], identifier, role)
+            return state.state_impact(observed, t["files"], identifier, role).orderBy(F.col("is_page").desc(), "path", F.col("line").isNotNull().desc(), "line")
         if mode == "consumers":
             return state.state_chain(observed, t["edges"], identifier, max_depth, role)
         declares = t["declared"].groupBy("identifier").agg(F.min("path").alias("path"))

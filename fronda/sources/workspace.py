@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fronda.functions.paths import is_config
+from fronda.functions.paths import ancestors, is_config
 
 MAX_BYTES = 8 << 20
 
@@ -174,3 +174,11 @@ def extension_counts(files: DataFrame) -> DataFrame:
 
 def line_count(content: Column) -> Column:
     return F.size(F.split(content, "\r\n|\r|\n"))
+
+
+def owners(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """`files` (path) with `owner`, the nearest folder above that has a configuration file (configs: path); null without one."""
+    folders = configs.select(F.regexp_replace("path", "/?[^/]*$", "").alias("owner")).distinct()
+    above = files.select("path", F.posexplode(ancestors(F.col("path"))).alias("rank", "owner"))
+    found = above.join(folders, "owner").groupBy("path").agg(F.min_by("owner", "rank").alias("owner"))
+    return files.join(found, "path", "left")

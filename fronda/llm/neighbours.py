@@ -13,7 +13,8 @@ neighbours are found; every vector is indexed.  Of equal vectors only the
 k + 1 smallest ids can be an answer, so no more are indexed.  A bucket of more
 than HOT rows is dealt to several slots and its probes visit all of them.  A
 query that finds fewer than k is answered exactly, by blocks of BLOCK queries
-against all rows.
+against all rows, and so are queries of another length than the fitted one, and
+all of them if no number of probes reaches TARGET.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part, as queries or answers; only vectors of one length are compared;
@@ -67,6 +68,8 @@ def _normal(z: np.ndarray) -> np.ndarray:
 class Index:
     distance: float
     probes: int
+    length: int | None = None  # of the vectors that it was fitted on
+    reached: bool = True  # whether TARGET was
     seed: int = SEED
 
     def hashed(self, x: np.ndarray) -> np.ndarray:
@@ -112,7 +115,7 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def fit(sample: list[np.ndarray], k: int = K) -> Index:
     """Bucket width and number of probes from a bounded sample of one length."""
     if len(sample) < 3:
-        return Index(1.0, PROBES[0])
+        return Index(1.0, PROBES[0], len(sample[0]) if sample else None)
     x = np.vstack(sample)
     ask = np.arange(0, len(x), max(1, len(x) // 128))
     far = np.stack([distances(x[i], x) for i in ask])
@@ -120,12 +123,13 @@ def fit(sample: list[np.ndarray], k: int = K) -> Index:
     kk = min(k, len(x) - 1)
     near = np.argpartition(far, kk - 1, axis=1)[:, :kk]
     usual = float(np.median(np.take_along_axis(far, near, 1).max(axis=1)))
-    index = Index(usual if usual > 0 else 1.0, PROBES[0])
+    index = Index(usual if usual > 0 else 1.0, PROBES[0], x.shape[1])
     own, asked = index.own(x), index.probed(x[ask], PROBES[-1])
     for n in PROBES:
         hit = [np.mean([any(own[j, t] in seen[t] for t in range(TABLES)) for j in near[i]]) for i, seen in ((i, [set(asked[i, t, :n].tolist()) for t in range(TABLES)]) for i in range(len(ask)))]
         index.probes = n
-        if np.mean(hit) >= TARGET:
+        index.reached = bool(np.mean(hit) >= TARGET)
+        if index.reached:
             break
     return index
 
@@ -240,7 +244,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFra
     found = scratch.save(_best(met, k), "found")
 
     counts = found.groupBy("query_id").count()
-    short = queries.join(counts, queries.vec_id == counts.query_id, "left").filter(F.coalesce("count", F.lit(0)) < min(k, max(0, n_rows - 1))).select("vec_id", "vec")
+    # nothing is known of the recall for vectors of another length than the fitted one, or if no number of probes reached TARGET
+    unsure = (F.size("vec") != index.length) | F.lit(not index.reached) if index.length is not None else F.lit(False)
+    short = queries.join(counts, queries.vec_id == counts.query_id, "left").filter((F.coalesce("count", F.lit(0)) < min(k, max(0, n_rows - 1))) | unsure).select("vec_id", "vec")
     out, after = [found], None
     while True:  # exact answers, BLOCK queries at a time
         block = (short if after is None else short.filter(F.col("vec_id") > after)).orderBy("vec_id").limit(BLOCK).collect()

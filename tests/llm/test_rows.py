@@ -421,6 +421,54 @@ def test_language_model(spark, docs, rows, empty):
     assert brown.score_texts(empty).count() == 0
 
 
+def test_language_model_score_by_brute_force(spark, docs, rows, monkeypatch):
+    """The score of every text from its classes, with counts, transitions and emissions worked out one by one."""
+    cluster, kept = brown.cluster, {}
+
+    def capture(*args):
+        kept["classes"], table = cluster(*args)
+        return kept["classes"], table
+
+    monkeypatch.setattr(brown, "cluster", capture)
+    found = brown.score_texts(docs).collect()
+    train = [data.words(text) for i, text, *_ in rows if data.fold(i, 10)]
+    counts = collections.Counter(w for t in train for w in t)
+    distinct = sorted(counts)
+    buffer, at = common.text_buffer(pa.array([w.decode() for w in distinct]))
+    hashes = common.word_hashes(buffer, at[:-1], at[1:])
+    number = {distinct[k]: n for n, k in enumerate(np.argsort(hashes))}
+    kind = lambda w: int(kept["classes"][number[w]]) if w in counts else brown.UNKNOWN
+    pairs, size = collections.Counter(), collections.Counter()
+    for t in train:
+        line = [brown.END, *map(kind, t), brown.END]
+        pairs.update(zip(line[:-1], line[1:], strict=True))
+        size.update(line[1:])
+    tokens = sum(size.values())
+    unknown = (sum(c == 1 for c in counts.values()) + 0.5) / (tokens + 1)
+    smooth = sum(size[c] + 0.5 for c in range(brown.N_CLASSES) if c != brown.UNKNOWN)
+    share = lambda c: (size[c] + 0.5) / smooth
+    after = collections.Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+
+    def score(words):
+        total, before = 0.0, brown.END
+        for w in [*words, None]:
+            own = brown.END if w is None else kind(w)
+            if own == brown.UNKNOWN:
+                total += np.log10(unknown)
+            else:
+                step = share(own) if before == brown.UNKNOWN else (pairs[before, own] + brown.SMOOTH * share(own)) / (after[before] + brown.SMOOTH)
+                total += np.log10(step) + np.log10(1 - unknown) + (0 if w is None else np.log10(counts[w] / size[own]))
+            before = own
+        return total
+
+    want = sorted((str(i), round(score(data.words(text)), 6)) for i, text, *_ in rows)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in found)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-5)
+
+
 def test_language_model_is_a_distribution(spark):
     texts = [(k, " ".join(np.random.default_rng(k).choice(list("abcdefgh"), 30))) for k in range(40)]
     known = sorted({w for i, t in texts if data.fold(i, 10) for w in t.split()})

@@ -289,3 +289,23 @@ def test_keep_one_by_row(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.text for r in kept].count(text[4]) + [r.text for r in kept].count(text[4] + " more") == 1
     same([tuple(r) for r in kept if not (r.text or "").startswith(text[4])], [(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (7, text[5]), (None, "")])
+
+
+def plain_neighbours(rows, k, every):
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            found = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for i, y in rows if i != q and len(y) == len(x))[:k]
+            out += [(q, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["lengths", "missed"])
+def test_unmeasured_queries_are_answered_exactly(spark, monkeypatch, case):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=7 if case == "lengths" and i % 5 == 0 else 12).tolist()) for i in range(300)]
+    if case == "missed":
+        monkeypatch.setattr(neighbours, "PROBES", (1,))
+        monkeypatch.setattr(neighbours, "TARGET", 1.01)
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, 10).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found) == plain_neighbours(rows, 3, 10)

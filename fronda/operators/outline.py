@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from fronda.operators.parse import IDENT, balanced, blank_comments, imports, markup_of, position, script_of, sections, split_top
+from fronda.operators.parse import IDENT, balanced, blank_comments, imports, markup_in_place, position, script_of, sections, split_top
 
 #: Client-only calls that a server component must not make.
 CLIENT_CALLS = ("useState", "useEffect", "useReducer", "useRef", "useLayoutEffect", "useTransition", "useDeferredValue", "useActionState", "useOptimistic", "createContext", "useContext")
@@ -80,7 +80,7 @@ def event_handlers(path: str, text: str) -> list[dict]:
     methods = re.search(r"\bmethods\s*:\s*\{", script)
     if methods:
         known |= set(re.findall(rf"^\s*(?:async\s+)?({IDENT})\s*\(", balanced(script, methods.end() - 1), re.M))
-    out, markup = [], blank_comments(markup_of(path, text))
+    out, markup = [], blank_comments(markup_in_place(path, text))
     for m in re.finditer(r"(?:@|v-on:)([\w:-]+)(?:\.[\w-]+)*=(\"[^\"]*\"|'[^']*')", markup):
         handler, inline = event_expression(m[2][1:-1])
         scoped = handler.startswith("$") or handler in ("emit", "props")
@@ -293,7 +293,7 @@ def layout_tokens(classes: str, most: int = 15) -> list[str]:
 
 def layout(path: str, text: str) -> dict:
     """Root element with its layout classes, conditional classes and visibility directives of a template."""
-    markup = blank_comments(markup_of(path, text))
+    markup = blank_comments(markup_in_place(path, text))
     root = re.search(r"<([A-Za-z][\w.-]*)\b([^>]*)>", markup)
     own = re.search(r"(?<![:\w])class(?:Name)?=[\"']([^\"']*)[\"']", root[2]) if root else None
     shown = [{"directive": m[1], "condition": (m[2] or "").strip("\"'"), "line": position(markup, m.start())[0]} for m in re.finditer(r"\b(v-show|v-if|v-else-if|v-else)\b(?:=(\"[^\"]*\"|'[^']*'))?", markup)]

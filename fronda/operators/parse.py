@@ -135,9 +135,21 @@ def script_of(path: str, text: str) -> str:
     return "\n".join(text[s["start"] : s["end"]] for s in sections(path, text) if s["kind"] in ("script", "frontmatter"))
 
 
+def _markup(path: str, text: str) -> list[dict]:
+    return [s for s in sections(path, text) if s["kind"] == "template" or (s["kind"] == "script" and path.endswith((".tsx", ".jsx", ".js")))]
+
+
 def markup_of(path: str, text: str) -> str:
-    parts = [text[s["start"] : s["end"]] for s in sections(path, text) if s["kind"] == "template" or (s["kind"] == "script" and path.endswith((".tsx", ".jsx", ".js")))]
-    return "\n".join(parts)
+    return "\n".join(text[s["start"] : s["end"]] for s in _markup(path, text))
+
+
+def markup_in_place(path: str, text: str) -> str:
+    """The markup where it stands in the text, blanks for the rest, so that places are those of the file."""
+    out, at = [], 0
+    for s in _markup(path, text):
+        out += [re.sub(r"[^\r\n]", " ", text[at : s["start"]]), text[s["start"] : s["end"]]]
+        at = s["end"]
+    return "".join(out)
 
 
 # ---------------------------------------------------------------- imports and tags
@@ -189,7 +201,7 @@ _ATTRIBUTE = re.compile(r"(\{\s*\.\.\.\s*([^}]*)\}|[@:#]?[\w.:\-\[\]]+)(?:\s*=\s
 
 def rendered(path: str, text: str) -> list[dict]:
     """Custom tags with the props each passes: name, expression and whether it is spread."""
-    markup, out = blank_comments(markup_of(path, text)), []
+    markup, out = blank_comments(markup_in_place(path, text)), []
     for m in _TAG.finditer(markup):
         props, seen = [], set()
         for a in _ATTRIBUTE.finditer(m[2]):

@@ -49,6 +49,7 @@ const { close } = useModal()
 def test_event_audit_and_layout():
     found = {e["event"]: (e["handler"], e["state"]) for e in outline.event_handlers("A.vue", VUE)}
     assert found == {"click": ("save", "valid"), "close": ("close", "valid"), "x": ("outer", "valid"), "y": ("missing", "broken"), "z": ("count", "inline")}
+    assert [e["line"] for e in outline.event_handlers("A.vue", VUE)] == [10] * 5  # of the file, not of its block
     assert outline.unused_functions("A.vue", VUE) == ["never"]
     shape = outline.layout("A.vue", VUE)
     assert (shape["root"], shape["tokens"]) == ("div", ["flex", "p-2"])

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from fronda.plans import catalog
+from fronda.plans import catalog, source_queries  # noqa: F401
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"

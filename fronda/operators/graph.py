@@ -110,6 +110,16 @@ def tree_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 3, down: boo
     return out
 
 
+def first_nodes(paths: DataFrame, limit: int = 20) -> DataFrame:
+    """Branches to the `limit` nearest nodes of a tree (by least depth, then name), the roots apart, and whether there are more."""
+    found = paths.filter("depth > 0").groupBy("node").agg(F.min("depth").alias("near")).orderBy("near", "node").limit(limit + 1)
+    # limit + 1 rows, ranked in one task
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy("near", "node")))
+    more = F.broadcast(ranked.agg((F.count("*") > limit).alias("has_more")))
+    kept = ranked.filter(F.col("rank") <= limit).select("node")
+    return paths.join(F.broadcast(kept.withColumn("kept", F.lit(True))), "node", "left").filter("kept OR depth = 0").drop("kept").join(more)
+
+
 def inherit_flag(paths: DataFrame, own: DataFrame, flag: str = "is_client") -> DataFrame:
     """`paths` with whether the node or one before it on its branch is flagged in `own` (path, flag)."""
     marked = own.filter(F.col(flag)).select(F.col("path").alias("on"))

@@ -124,6 +124,31 @@ def calls(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+#: Props whose union of literals counts as a set of variants, and members of a union that are no literals.
+VARIANT_PROPS = ("variant", "size", "intent", "color")
+NO_LITERALS = ("undefined", "null", "string", "boolean", "number", "any")
+
+
+def _entries(literal: str) -> dict[str, str]:
+    """Keys and source of the values of an object literal."""
+    pairs = (re.match(rf"\s*(?:['\"]([^'\"]+)['\"]|({IDENT}))\s*:\s*(.*)", part, re.S) for part in split_top(literal.strip()[1:-1], ","))
+    return {m[1] or m[2]: m[3].strip() for m in pairs if m}
+
+
+def variants(text: str, props: list[dict]) -> dict | None:
+    """Groups of variants with their options and defaults: of the first cva call, else of props that are unions of literals."""
+    for callee, args in calls(text):
+        if callee == "cva" and len(args) > 1 and args[1].strip().startswith("{"):
+            config = _entries(args[1])
+            groups = {g: list(_entries(body)) for g, body in _entries(config.get("variants", "{}")).items() if body.startswith("{")}
+            groups = {g: options for g, options in groups.items() if options}
+            if groups:
+                return {"variants": groups, "defaults": {k: v.strip("'\"`") for k, v in _entries(config.get("defaultVariants", "{}")).items()}}
+    unions = {p["name"]: [m for part in p["type"].split("|") if (m := part.strip().strip("'\"`")) and m not in NO_LITERALS] for p in props if p["name"] in VARIANT_PROPS and "|" in p["type"]}
+    unions = {name: members for name, members in unions.items() if len(members) > 1}
+    return {"variants": unions, "defaults": {}} if unions else None
+
+
 def _string(args: list[str]) -> str | None:
     """The first argument, if it is one literal."""
     found = _STRING.fullmatch(args[0]) if args else None

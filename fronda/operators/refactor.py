@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fronda.functions import names
-from fronda.operators.parse import _TAG, blank_comments, position
+from fronda.operators.parse import _TAG, blank_comments, contract, position
 
 KINDS = ("rename_prop", "add_prop", "remove_prop", "rename_event", "rename_model", "rename_slot", "rename_component")
 _NAME = re.compile(r"(?P<lead>\s)(?P<form>v-bind:|v-on:|v-model:|v-slot:|:|@|#)?(?P<name>[\w$-]+)(?P<mods>(?:\.[\w-]+)*)(?P<value>\s*=\s*(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{[^{}]*\})*\}))?")
@@ -85,6 +85,39 @@ def propose(text: str, component: str, kind: str, old: str, new: str = "") -> li
     return sorted(out, key=lambda p: (p["start"], p["end"]))
 
 
+def declarations(path: str, text: str, asked: list[tuple[str, str]]) -> list[dict]:
+    """Where a component declares what each (kind, name) changes: kind, symbol, found and, if a line names it, its place bound to the text's hash."""
+    known = contract(path, text)
+    props = [p["name"] for p in known["props"]]
+    by_kind = {"prop": props, "event": known["emits"], "model": [*known["models"], *props], "slot": known["slots"]}
+    out, digest = [], hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    for change, name in asked:
+        kind = change.rpartition("_")[2]
+        symbol = next((n for n in by_kind.get(kind, []) if same_name(n, name)), None)
+        row = {"change": change, "kind": kind, "symbol": symbol or name, "found": symbol is not None}
+        place = re.search(rf"^.*\b(?:{'|'.join(re.escape(f) for f in dict.fromkeys((symbol, name, kebab(symbol))))})\b.*$", text, re.M) if symbol else None
+        if place:
+            start = place.end() - len(place[0].lstrip())
+            end = place.start() + len(place[0].rstrip())
+            row |= {"line": position(text, start)[0], "start": start, "end": end, "snippet": text[start:end], "sha256": digest}
+        out.append(row)
+    return out
+
+
+def coverage(files: DataFrame, component: str) -> DataFrame:
+    """One row: candidates (files that hold a form of the name), and how many of them are analyzed, failed (no text) and unsupported (no markup).
+
+    A file without a text may hold the name, so it is a candidate.
+    """
+    forms = files.sparkSession.createDataFrame([(component,)], "n string").select(names.candidates(F.col("n"))).first()[0]
+    named = F.lit(False)
+    for f in {*forms, component}:
+        named = named | F.col("content").contains(f)
+    failed, readable = F.col("content").isNull(), F.col("path").rlike(r"\.(vue|svelte|astro|tsx|jsx|js)$")
+    wanted = files.filter(failed | named)
+    return wanted.agg(F.count("*").alias("candidates"), F.count_if(~failed & readable).alias("analyzed"), F.count_if(failed).alias("failed"), F.count_if(~failed & ~readable).alias("unsupported"))
+
+
 PATCHES = "file string, start long, end long, line int, column int, old_snippet string, replacement string, sha256 string, state string"
 
 

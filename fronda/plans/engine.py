@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fronda.operators import evidence, graph, index, outline, parse, patches, refactor, state, sync
+from fronda.operators import evidence, graph, index, outline, parse, patches, refactor, state, structure, sync
 from fronda.sources import aliases, workspace
 
 
@@ -67,11 +69,18 @@ class Workspace:
 
     # ------------------------------------------------------------ operations
 
-    def find_code(self, pattern: str = "", component: str = "", prop: str = "", limit: int = 200) -> DataFrame:
+    def find_code(self, pattern: str = "", component: str = "", prop: str = "", limit: int = 200, mode: str = "auto", rule: dict | None = None) -> DataFrame:
+        """Places of a literal, a pattern with placeholders, a rule, a component or a prop of it; auto takes tags and placeholders for a pattern."""
         if component and prop:
             return index.find_prop(self.store.table("parsed"), component, prop, limit)
         if component:
             return index.find_component(self.store.table("parsed"), component, limit)
+        if rule is not None:
+            return structure.find(self.files(), rule=rule, limit=limit)
+        if mode not in ("auto", "literal", "pattern"):
+            raise ValueError("mode is one of auto, literal, pattern")
+        if mode == "pattern" or (mode == "auto" and re.search(r"\$[A-Z_$]|^\s*<[A-Za-z].*>\s*$", pattern)):
+            return structure.find(self.files(), pattern, limit=limit)
         if not pattern or "\n" in pattern:
             raise ValueError("a literal pattern is one line that is not empty")
         return index.find_literal(self.files(), pattern, limit)
@@ -95,18 +104,22 @@ class Workspace:
             "map": lambda: outline.regions(path, text),
             "layout": lambda: outline.layout(path, text),
             "data": lambda: outline.data_dependencies(text, parse.framework(path, text)),
+            "variants": lambda: outline.variants(text, parse.contract(path, text)["props"]),
+            "expressions": lambda: structure.template_expressions(path, text),
             "boundary": lambda: outline.render_boundary(path, text, parse.framework(path, text)),
         }
         if mode not in found:
             raise ValueError(f"mode is one of impact, {', '.join(found)}")
         return found[mode]()
 
-    def component_tree(self, path: str, direction: str = "down", max_depth: int = 3) -> DataFrame:
+    def component_tree(self, path: str, direction: str = "down", max_depth: int = 3, limit: int | None = None) -> DataFrame:
+        """Branches below or above a file; with a limit those to the nearest nodes, and has_more."""
         edges = self.store.table("edges")
         if direction == "down":
             edges = edges.filter("is_rendered")
         roots = self.spark.createDataFrame([(path,)], "path string")
-        return graph.tree_paths(edges, roots, max_depth, direction == "down")
+        found = graph.tree_paths(edges, roots, max_depth, direction == "down")
+        return found if limit is None else graph.first_nodes(found, limit)
 
     def blast_radius(self, path: str, max_depth: int = 5) -> DataFrame:
         found = graph.blast_radius(self.store.table("edges"), self.spark.createDataFrame([(path,)], "path string"), max_depth)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fronda.functions import paths
-from fronda.operators import graph, index, parse, refactor
+from fronda.functions import paths, targets
+from fronda.operators import graph, index, parse, refactor, structure
 from fronda.plans.catalog import query
 from fronda.sources import graph_views as V
 
@@ -285,3 +286,84 @@ def source_patch_plan(spark, d):
     """Patches that rename a prop of one component, and the spreads that must be looked at."""
     found = refactor.plan(source_tree(spark, d), f"Nation{TARGET}", "rename_prop", "name", "label")
     return found.select("file", "start", "end", "old_snippet", "replacement", "sha256", "state")
+
+
+@query(
+    over_tree(
+        """SELECT path, CAST(4 AS BIGINT) AS line, CAST(20 AS BIGINT) AS "column", CAST(4 AS BIGINT) AS end_line, CAST(20 + len(text) AS BIGINT) AS end_column, text
+        FROM (SELECT path, 'axios.post(`/api/nations/${nation.id}/suppliers`, { key: ' || own || ' })' AS text FROM tree WHERE kind = 'supplier')"""
+    )
+)
+def source_structure_call(spark, d):
+    """Calls by a pattern with placeholders, wherever they stand."""
+    found = structure.find(source_tree(spark, d), "$CLIENT.post($URL, { key: $KEY })", limit=None)
+    return found.select("path", *[F.col(c).cast("long").alias(c) for c in ("line", "column", "end_line", "end_column")], "text")
+
+
+@query(over_tree("SELECT path, CAST(CASE kind WHEN 'region' THEN 2 ELSE 3 END AS BIGINT) AS line, string_split(content, chr(10))[CASE kind WHEN 'region' THEN 2 ELSE 3 END] AS text FROM tree WHERE kind IN ('region', 'nation')"))
+def source_structure_types(spark, d):
+    """A pattern whose run of tokens stands between angle brackets."""
+    return structure.find(source_tree(spark, d), "defineProps<$$$>()", limit=None).select("path", F.col("line").cast("long").alias("line"), "text")
+
+
+@query(over_tree("SELECT path, CAST(7 AS BIGINT) AS line, trim(string_split(content, chr(10))[7]) AS text FROM tree WHERE kind = 'nation'"))
+def source_structure_tags(spark, d):
+    """A pattern of a tag with any attributes."""
+    return structure.find(source_tree(spark, d), "<Region $$$ />", limit=None).select("path", F.col("line").cast("long").alias("line"), "text")
+
+
+@query(over_tree("SELECT path, CAST(5 AS BIGINT) AS line, 'store.select(' || own || ')' AS text FROM tree WHERE kind = 'supplier' UNION ALL SELECT path, 3, 'fetch(' || chr(39) || '/api/customers/' || own || chr(39) || ')' FROM tree WHERE kind = 'customer'"))
+def source_structure_rule(spark, d):
+    """Either of two patterns, those with an expression left out."""
+    rule = {"any": [{"pattern": "store.$M($X)"}, {"pattern": "fetch($X)"}], "not": {"pattern": "store.title($X)"}, "regex": "[0-9]"}
+    return structure.find(source_tree(spark, d), rule=rule, limit=None).select("path", F.col("line").cast("long").alias("line"), "text")
+
+
+@query(
+    over_tree(
+        """SELECT path, what, source, CAST(strpos(content, mark) + len(mark) - 1 AS BIGINT) AS "start" FROM (
+        SELECT path, ':size' AS what, '' || own AS source, content, ' :size="' AS mark FROM tree WHERE kind = 'nation'
+        UNION ALL SELECT path, ':id', '' || own, content, ' :id="' FROM tree WHERE kind = 'supplier' AND own % 2 = 0 UNION ALL SELECT path, '@pick', 'load', content, ' @pick="' FROM tree WHERE kind = 'supplier'
+        UNION ALL SELECT path, 'expression', 'size', content, ' size={' FROM tree WHERE kind = 'part')"""
+    )
+)
+def source_template_expressions(spark, d):
+    """Expressions in templates with their places in the file."""
+
+    @F.pandas_udf("array<struct<kind:string,source:string,start:long>>")
+    def found(path: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([[{k: e[k] for k in ("kind", "source", "start")} for e in structure.template_expressions(p, t)] for p, t in zip(path, text, strict=True)])
+
+    return source_tree(spark, d).select("path", F.explode(found("path", "content")).alias("e")).select("path", F.col("e.kind").alias("what"), "e.source", "e.start")
+
+
+@query(
+    over_tree(
+        """SELECT path, CASE kind WHEN 'supplier' THEN 'POST api/nations/:id/suppliers' ELSE 'GET api/customers/' || own END AS intent,
+        array_to_string(CASE kind WHEN 'supplier' THEN ['SupplierController', 'SupplierController@store', 'SupplierAction', 'SupplierService', 'SupplierHandler']
+        ELSE [own || 'Controller', own || 'Controller@index', own || 'Action', own || 'Service', own || 'Handler'] END, '|') AS symbols FROM tree WHERE kind IN ('supplier', 'customer')"""
+    )
+)
+def source_backend_targets(spark, d):
+    """Names under which a backend may serve each call."""
+    calls = parse.table(_parsed(spark, d), "calls").withColumn("t", targets.backend_target(F.col("method"), paths.endpoint(F.col("endpoint"))))
+    return calls.select("path", "t.intent", F.array_join("t.symbols", "|").alias("symbols"))
+
+
+@query(over_tree(f"SELECT count(*) AS candidates, count(*) FILTER (kind <> 'barrel') AS analyzed, CAST(0 AS BIGINT) AS failed, count(*) FILTER (kind = 'barrel') AS unsupported FROM tree WHERE contains(content, 'Nation{TARGET}') OR contains(content, 'nation{TARGET}')"))
+def source_patch_coverage(spark, d):
+    return refactor.coverage(source_tree(spark, d), f"Nation{TARGET}")
+
+
+@query(
+    over_tree(
+        f""", near AS (SELECT DISTINCT parent AS node FROM edges WHERE child = 'src/nations/Nation{TARGET}.vue'), ranked AS (SELECT node, row_number() OVER (ORDER BY node) AS r FROM near)
+        SELECT 'src/nations/Nation{TARGET}.vue' AS node, CAST(0 AS BIGINT) AS depth, (SELECT count(*) > 20 FROM near) AS has_more UNION ALL SELECT node, 1, (SELECT count(*) > 20 FROM near) FROM ranked WHERE r <= 20""",
+        edges=True,
+    )
+)
+def source_nearest_parents(spark, d):
+    """The first 20 files above a component, and whether there are more."""
+    edges = index.graph_tables(_parsed(spark, d))["edges"]
+    found = graph.tree_paths(edges, spark.createDataFrame([(f"src/nations/Nation{TARGET}.vue",)], "path string"), 1)
+    return graph.first_nodes(found, 20).select("node", F.col("depth").cast("long").alias("depth"), "has_more")

@@ -8,6 +8,7 @@ and one pointer a generation, the pointer being written last.
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fronda.functions import names, paths
-from fronda.operators import parse
+from fronda.operators import graph, parse
 from fronda.operators.graph import first_writer_wins, saved
 from fronda.sources.aliases import Alias, load, targets
 
@@ -68,6 +69,30 @@ def chase_barrels(links: DataFrame, reexports: DataFrame) -> DataFrame:
             return links.drop("via", "moved")
 
 
+def import_links(parsed: DataFrame, aliases: list[Alias] | dict[str, str] | None = None) -> DataFrame:
+    """Imports (path, name, exported, source, link) with the file and the name behind re-exports that each reaches."""
+    links = resolve(parse.table(parsed, "imports").withColumn("link", F.xxhash64("path", "name", "exported", "source")), parsed, aliases)
+    reexports = resolve(parse.table(parsed, "exports").filter("source <> ''"), parsed, aliases)
+    return chase_barrels(links.filter("target IS NOT NULL"), reexports)
+
+
+def symbol_callers(files: DataFrame, parsed: DataFrame, path: str, symbol: str, aliases: list[Alias] | dict[str, str] | None = None) -> DataFrame:
+    """(path, name, verdict) of the files that import a symbol of a file, through re-exports too: caller if a call or a tag names it there, else importer."""
+    own = parse.table(parsed.filter(F.col("path") == path), "exports").filter(F.col("local") == symbol).select("name")
+    wanted = own.union(parsed.sparkSession.createDataFrame([(symbol,), ("*",)], "name string")).distinct().withColumnRenamed("name", "exported")
+    links = import_links(parsed, aliases).filter((F.col("target") == path) & (F.col("path") != path)).join(F.broadcast(wanted), "exported")
+    # a namespace reaches the symbol behind a dot
+    name = F.when(F.col("exported") == "*", F.concat("name", F.lit("."), F.lit(symbol))).otherwise(F.col("name"))
+    used = F.concat(F.lit(r"((?<![\w$.])\Q"), name, F.lit(r"\E\s*(<[^()]*>)?\()|(<\Q"), name, F.lit(r"\E(?![\w$.]))"))
+    found = links.select("path", name.alias("name"), used.alias("used")).distinct().join(files.select("path", "content"), "path")
+
+    @F.pandas_udf("string")
+    def code(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: parse.blank_comments(t or ""))
+
+    return found.withColumn("code", code("content")).withColumn("hit", F.expr("code RLIKE used")).groupBy("path", "name").agg(F.when(F.max("hit"), "caller").otherwise("importer").alias("verdict"))
+
+
 def tag_matches(tag: Column, name: Column) -> Column:
     return names.matches(F.element_at(F.split(tag, r"\."), 1), name)
 
@@ -78,9 +103,7 @@ def graph_tables(parsed: DataFrame, aliases: list[Alias] | dict[str, str] | None
     component = F.col("path").rlike(r"\.(vue|svelte|astro|tsx|jsx)$")
     components = parsed.filter(component).select("path", "name", F.to_json("contract").alias("contract_json"))
 
-    links = resolve(parse.table(parsed, "imports").withColumn("link", F.xxhash64("path", "name", "exported", "source")), files, aliases)
-    reexports = resolve(parse.table(parsed, "exports").filter("source <> ''"), files, aliases)
-    links = chase_barrels(links.filter("target IS NOT NULL"), reexports)
+    links = import_links(parsed, aliases)
     tags = parse.table(parsed, "rendered")
     used = tags.select(F.col("path").alias("t_path"), "tag").distinct()
     rendered = links.join(used, (F.col("path") == F.col("t_path")) & tag_matches(F.col("tag"), F.col("name")), "left_semi").select("link").distinct().withColumn("is_rendered", F.lit(True))
@@ -106,6 +129,16 @@ def graph_tables(parsed: DataFrame, aliases: list[Alias] | dict[str, str] | None
 # ---------------------------------------------------------------- store
 
 
+def nearest_index(folder: str, name: str) -> str | None:
+    """The folder itself or the nearest one above it that holds a store of that name."""
+    at = os.path.abspath(folder)
+    while not os.path.isdir(os.path.join(at, name)):
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+    return at
+
+
 class Store:
     """Generations of tables under a root; `current` names the one that is read."""
 
@@ -200,6 +233,13 @@ def prop_impact(parsed: DataFrame, tables: dict[str, DataFrame], target: str) ->
     )
 
 
+def context_audit(parsed: DataFrame, edges: DataFrame, path: str, max_depth: int = 5) -> DataFrame:
+    """(node, key, branch, provider) of what the components below a file consume: the provider on its branch, or null."""
+    found = parse.table(parsed, "contexts")
+    tree = graph.tree_paths(edges.filter("is_rendered"), parsed.sparkSession.createDataFrame([(path,)], "path string"), max_depth, down=True)
+    return graph.nearest_provider(tree, found.filter("role = 'consumer'").select("path", "key"), found.filter("role = 'provider'").select("path", "key")).drop("root")
+
+
 def find_literal(files: DataFrame, pattern: str, limit: int = 200) -> DataFrame:
     """(path, line, column, snippet): first place of a literal in each line, files in order; files without it are never split."""
     lines = files.filter(F.col("content").contains(pattern)).select("path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "text"))

@@ -292,6 +292,28 @@ def state_uses(path: str, text: str) -> list[dict]:
     return out
 
 
+_CONTEXT = re.compile(r"(?<![\w$.])(?:Vue\.|React\.)?(provide|inject|setContext|getContext|useContext)\s*(?:<[^()]*>)?\s*\(")
+
+
+def contexts(path: str, text: str) -> list[dict]:
+    """Keys that a component provides to those below it, or consumes: role, key, line; the key as it is written, quotes off.
+
+    A key is the first argument of a call, or the name before `.Provider` of a tag.
+    """
+    code, out = blank_comments(text), []
+    for s in sections(path, text):
+        if s["kind"] in ("script", "frontmatter"):
+            for m in _CONTEXT.finditer(code, s["start"], s["end"]):
+                args = split_top(balanced(code, m.end() - 1)[1:-1], ",")
+                if args and args[0].strip():
+                    role = "provider" if m[1] in ("provide", "setContext") else "consumer"
+                    out.append({"role": role, "key": args[0].strip().strip("'\"`"), "line": position(text, m.start())[0]})
+    for t in rendered(path, text):
+        if t["tag"].endswith(".Provider"):
+            out.append({"role": "provider", "key": t["tag"].removesuffix(".Provider"), "line": t["line"]})
+    return sorted(out, key=lambda c: c["line"])
+
+
 _CALL = re.compile(r"(?<![\w$.])(?:(\$?fetch|useFetch|useLazyFetch|useSWR)|(axios|api|http|router|form|client)\.(get|post|put|patch|delete|head))\s*(?:<[^>()]*>)?\s*\(\s*(?:\(\)\s*=>\s*)?(\"[^\"]*\"|'[^']*'|`[^`]*`)")
 
 
@@ -428,7 +450,7 @@ PARSED = """path string, hash string, framework string, name string, line_count
     state array<struct<kind:string,identifier:string,access_mode:string,line_number:int,usage_snippet:string,accessed_properties:array<string>>>,
     calls array<struct<client:string,method:string,endpoint:string,payload:array<string>,line:int,column:int>>,
     contract struct<props:array<struct<name:string,type:string,required:boolean>>,emits:array<string>,slots:array<string>,models:array<string>,exposed:array<string>>,
-    handlers array<string>"""
+    handlers array<string>, contexts array<struct<role:string,key:string,line:int>>"""
 
 
 def component_name(path: str) -> str:
@@ -452,10 +474,10 @@ def parsed(files: DataFrame) -> DataFrame:
                     {
                         "path": path, "hash": digest, "framework": framework(path, text), "name": component_name(path), "line_count": len(re.split(r"\r\n|\r|\n", text)),
                         "imports": imports(script_of(path, text)), "exports": exports(script_of(path, text)), "rendered": rendered(path, text), "declared": declared_state(path, text),
-                        "state": state_uses(path, text), "calls": http_calls(text), "contract": contract(path, text), "handlers": api_handlers(path, text),
+                        "state": state_uses(path, text), "calls": http_calls(text), "contract": contract(path, text), "handlers": api_handlers(path, text), "contexts": contexts(path, text),
                     }
                 )
-            yield pd.DataFrame(rows, columns=["path", "hash", "framework", "name", "line_count", "imports", "exports", "rendered", "declared", "state", "calls", "contract", "handlers"])
+            yield pd.DataFrame(rows, columns=["path", "hash", "framework", "name", "line_count", "imports", "exports", "rendered", "declared", "state", "calls", "contract", "handlers", "contexts"])
 
     return files.select("path", "hash", "content").mapInPandas(run, PARSED)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +52,25 @@ def tail(log: DataFrame, n: int = 500, tool: str | None = None) -> DataFrame:
     """The last n calls; a tool filter applies after the tail."""
     last = log.orderBy(F.col("seq").desc()).limit(n)
     return last if tool is None else last.filter(F.col("tool") == tool)
+
+
+#: Size at which a log is put aside, and the longest line.
+LOG_BYTES = 2 << 20
+LINE_BYTES = 4095
+
+
+def append(path: str, record: dict) -> bool:
+    """Adds one record to a JSON-lines log; a full log becomes `.1` first. Never raises: False if the line is too long or cannot be written."""
+    try:
+        line = json.dumps(record, ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
+        if len(line) > LINE_BYTES:
+            return False
+        if os.path.exists(path) and os.path.getsize(path) + len(line) > LOG_BYTES:
+            os.replace(path, path + ".1")
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        # one write of one short line: writers in other processes do not mix theirs in
+        with open(path, "ab", buffering=0) as log:
+            log.write(line)
+        return True
+    except (OSError, TypeError, ValueError):
+        return False

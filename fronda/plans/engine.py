@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fronda.operators import evidence, graph, index, outline, parse, patches, refactor, state, structure, sync
+from fronda.operators import evidence, graph, index, outline, parse, patches, refactor, routing, state, structure, sync
 from fronda.sources import aliases, workspace
 
 
@@ -145,8 +145,18 @@ class Workspace:
             return index.endpoint_summary(t["parsed"])
         if kind == "routes":
             return t["routes"].orderBy("url_path", "path")
+        if kind == "app-routes":
+            return routing.app_routes(t["files"]).orderBy("url_path", "path")
         raise ValueError(kind)
 
+    def callers(self, path: str, symbol: str) -> DataFrame:
+        known = aliases.load(self.configs()) if self.aliases is None else self.aliases
+        return index.symbol_callers(self.files(), self.store.table("parsed"), path, symbol, known)
+
+    def contexts(self, path: str, max_depth: int = 5) -> DataFrame:
+        """Who provides what the components below a file consume."""
+        return index.context_audit(self.store.table("parsed"), self.store.table("edges"), path, max_depth)
+
     def patch_plan(self, component: str, kind: str, old: str, new: str = "") -> DataFrame:
         return refactor.plan(self.files(), component, kind, old, new)
 

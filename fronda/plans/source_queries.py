@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fronda.functions import paths, targets
-from fronda.operators import graph, index, parse, refactor, structure
+from fronda.operators import graph, index, parse, refactor, routing, structure
 from fronda.plans.catalog import query
 from fronda.sources import graph_views as V
+from fronda.sources.graph_views import with_views
 
 TARGET = 7  # number of the component that single-component questions ask for
 
@@ -367,3 +368,26 @@ def source_nearest_parents(spark, d):
     edges = index.graph_tables(_parsed(spark, d))["edges"]
     found = graph.tree_paths(edges, spark.createDataFrame([(f"src/nations/Nation{TARGET}.vue",)], "path string"), 1)
     return graph.first_nodes(found, 20).select("node", F.col("depth").cast("long").alias("depth"), "has_more")
+
+
+@query(over_tree(f"SELECT path, 'Nation{TARGET}' AS name, 'caller' AS verdict FROM tree WHERE kind IN ('supplier', 'customer') AND up = {TARGET}"))
+def source_symbol_callers(spark, d):
+    """Files that use a component, by its own file or through the file that exports it again."""
+    files = source_tree(spark, d)
+    return index.symbol_callers(files, _parsed(spark, d), f"src/nations/Nation{TARGET}.vue", "default")
+
+
+@query(
+    with_views(
+        """SELECT DISTINCT 'src/app/(site)' || rtrim(url_path, '/') || '/page.tsx' AS path, '/' || trim(regexp_replace(url_path, '^/', ''), '/') AS url_path, 'page' AS type, '(site)' AS groups,
+        'src/app/layout.tsx' || CASE WHEN regexp_matches(url_path, '^/[^/]+') THEN '>src/app/(site)' || regexp_extract(url_path, '^/[^/]+') || '/layout.tsx' ELSE '' END AS layouts FROM routes""",
+        "routes",
+    )
+)
+def source_app_routes(spark, d):
+    """Pages of an app folder below a group, with the layouts around them: one of all and one of each first segment."""
+    url = V.routes(spark, d).select(F.regexp_replace("url_path", "/$", "").alias("u")).distinct()
+    pages = url.select(F.concat(F.lit("src/app/(site)"), "u", F.lit("/page.tsx")).alias("path"))
+    layouts = url.filter("u <> ''").select(F.concat(F.lit("src/app/(site)"), F.regexp_extract("u", "^/[^/]+", 0), F.lit("/layout.tsx")).alias("path")).distinct()
+    found = routing.app_routes(pages.unionByName(layouts).union(spark.sql("SELECT 'src/app/layout.tsx' AS path")))
+    return found.filter("type = 'page'").select("path", "url_path", "type", F.array_join("groups", ">").alias("groups"), F.array_join("layouts", ">").alias("layouts"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fronda.functions import targets
-from fronda.operators import graph, outline, refactor, structure
+from fronda.operators import graph, index, outline, parse, refactor, routing, structure, telemetry
 
 CODE = """const a = console.log(x + 1, y); // console.log(z)
 foo.console.log(b)
@@ -120,3 +120,49 @@ def test_first_nodes(spark):
     some = graph.first_nodes(tree, 3).collect()
     assert sorted(r.node for r in some) == ["a", "c0", "c1", "c2"] and all(r.has_more for r in some)
     assert {(r.node, r.has_more) for r in graph.first_nodes(tree, 6).collect()} == {(n, False) for n in ("a", "c0", "c1", "c2", "c3", "c4", "d")}
+
+
+def test_app_routes(spark):
+    names = ["app/layout.tsx", "app/page.tsx", "app/(shop)/cart/page.tsx", "app/(shop)/layout.jsx", "app/@modal/(..)photo/[id]/page.tsx", "app/api/x/route.ts", "app/api/x/help.ts", "lib/page.tsx", "web/app/(shop)/cart/layout.js"]
+    found = {r.path: r for r in routing.app_routes(spark.createDataFrame([(n,) for n in names], "path string")).collect()}
+    assert set(found) == set(names) - {"app/api/x/help.ts", "lib/page.tsx"}
+    cart = found["app/(shop)/cart/page.tsx"]
+    assert (cart.url_path, cart.type, cart.groups, cart.slot, cart.layouts) == ("/cart", "page", ["(shop)"], None, ["app/layout.tsx", "app/(shop)/layout.jsx"])
+    photo = found["app/@modal/(..)photo/[id]/page.tsx"]
+    assert (photo.url_path, photo.slot, photo.intercepting, photo.layouts, photo.params[0].name) == ("/photo/[id]", "@modal", "(..)photo", ["app/layout.tsx"], "id")
+    assert (found["app/page.tsx"].url_path, found["app/api/x/route.ts"].type) == ("/", "api")
+    assert found["web/app/(shop)/cart/layout.js"].layouts == ["web/app/(shop)/cart/layout.js"]
+
+
+def test_contexts(spark):
+    assert parse.contexts("A.vue", "<script setup>\n// inject('no')\nprovide('theme', x)\nconst t = inject<Theme>(KEY, null)\n</script>\n<template><Cart.Provider><b>inject('text')</b></Cart.Provider></template>") == [
+        {"role": "provider", "key": "theme", "line": 3}, {"role": "consumer", "key": "KEY", "line": 4}, {"role": "provider", "key": "Cart", "line": 6},
+    ]
+    assert parse.contexts("a.tsx", "const x = React.useContext(Cart)\nreturn <Theme.Provider value={1}><A /></Theme.Provider>") == [{"role": "consumer", "key": "Cart", "line": 1}, {"role": "provider", "key": "Theme", "line": 2}]
+    files = spark.createDataFrame([("App.vue", "h", "<script setup>\nimport B from './B.vue'\nprovide('a', 1)\n</script>\n<template><B /></template>"), ("B.vue", "h", "<script setup>\ninject('a')\ninject('b')\n</script>")], "path string, hash string, content string")
+    parsed = parse.parsed(files)
+    rows = index.context_audit(parsed, index.graph_tables(parsed)["edges"], "App.vue").collect()
+    assert sorted((r.node, r.key, r.branch, r.provider) for r in rows if r.key == "a") == [("B.vue", "a", "App.vue>B.vue", "App.vue")]
+    assert [(r.node, r.provider) for r in rows if r.key == "b"] == [("B.vue", None)]
+
+
+def test_symbol_callers(spark):
+    texts = {
+        "lib/a.ts": "export const run = () => 1\nexport { run as go }\n", "lib/index.ts": "export { run as start } from './a'\nexport * from './b'\n", "lib/b.ts": "export const other = 1\n",
+        "u1.ts": "import { start as s } from './lib'\ns()\n", "u2.ts": "import { go } from './lib/a'\n// go()\nconst x = go\n", "u3.ts": "import * as all from './lib/a'\nall.run(1)\n", "u4.ts": "import { other } from './lib'\nother()\n",
+    }
+    files = spark.createDataFrame([(p, "h", t) for p, t in texts.items()], "path string, hash string, content string")
+    rows = index.symbol_callers(files, parse.parsed(files), "lib/a.ts", "run").collect()
+    found = {(r.path, r.name): r.verdict for r in rows}
+    assert found[("u1.ts", "s")] == "caller" and found[("u3.ts", "all.run")] == "caller" and ("u4.ts", "other") not in found and found[("u2.ts", "go")] == "importer"
+
+
+def test_log_and_nearest_index(tmp_path):
+    log = tmp_path / "x" / "log.jsonl"
+    assert telemetry.append(str(log), {"a": "é"}) and not telemetry.append(str(log), {"a": "x" * 5000}) and not telemetry.append(str(log), {"a": object()})
+    assert log.read_text(encoding="utf-8") == '{"a":"é"}\n'
+    log.write_bytes(b"x" * telemetry.LOG_BYTES)
+    assert telemetry.append(str(log), {"b": 1}) and log.read_text() == '{"b":1}\n' and (tmp_path / "x" / "log.jsonl.1").stat().st_size == telemetry.LOG_BYTES
+    (tmp_path / "p" / "q").mkdir(parents=True)
+    (tmp_path / "p" / ".store").mkdir()
+    assert index.nearest_index(str(tmp_path / "p" / "q"), ".store") == str(tmp_path / "p") and index.nearest_index(str(tmp_path / "x"), ".no-store") is None

@@ -19,40 +19,13 @@ IDENT = r"[A-Za-z_$][\w$]*"
 # ---------------------------------------------------------------- texts
 
 
-def blank_comments(text: str) -> str:
-    """The text with script and markup comments as blanks; line breaks and strings stay."""
-    out, i, n = list(text), 0, len(text)
+_QUIET = re.compile(r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|(?P<comment>(?<!:)//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))", re.S)
+_VISIBLE = re.compile(r"[^\r\n]")
 
-    def wipe(a: int, b: int) -> None:
-        for k in range(a, b):
-            if out[k] not in "\r\n":
-                out[k] = " "
 
-    while i < n:
-        c = text[i]
-        if c in "'\"`":
-            j = i + 1
-            while j < n and text[j] != c and not (text[j] == "\n" and c != "`"):
-                j += 2 if text[j] == "\\" else 1
-            i = j + 1
-        elif text.startswith("//", i) and (i == 0 or text[i - 1] != ":"):
-            j = text.find("\n", i)
-            j = n if j < 0 else j
-            wipe(i, j)
-            i = j
-        elif text.startswith("/*", i):
-            j = text.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            wipe(i, j)
-            i = j
-        elif text.startswith("<!--", i):
-            j = text.find("-->", i + 4)
-            j = n if j < 0 else j + 3
-            wipe(i, j)
-            i = j
-        else:
-            i += 1
-    return "".join(out)
+def blank_comments(text: str) -> str:
+    """The text with script and markup comments as blanks; line breaks and strings stay."""
+    return _QUIET.sub(lambda m: _VISIBLE.sub(" ", m[0]) if m["comment"] else m[0], text)
 
 
 def utf16(text: str) -> int:

@@ -2,12 +2,19 @@
 
 Per text, a suffix array over its words is built by prefix doubling (only
 suffixes whose rank is still shared are sorted again).  Neighbouring suffixes
-with a longest common prefix of at least `min_repeat` words form LCP intervals:
-each is a maximal repeated substring.  The union of their occurrences gives the
-covered words; the largest LCP gives the longest repeat.  A text is kept if the
-base rules pass, `covered <= max_covered * n_words` and
-`longest <= max_longest` hold.  All texts of an Arrow slice share one array:
-a text's number is part of every key, so no repeat joins two texts.
+with a common prefix give each word the longest repeat that starts there; all
+counts of repetition come from that.  Repeats of 3 words or more make up the
+windows of 3 words found twice, hence `n_repeat_words` of the base rule; those
+of `min_repeat` words or more form LCP intervals, the maximal repeated
+substrings: the union of their occurrences gives the covered words, the largest
+the longest repeat.  A text is kept if the base rules pass,
+`covered <= max_covered * n_words` and `longest <= max_longest` hold.  All texts
+of an Arrow slice share one array: a text's number is part of every key, so no
+repeat joins two texts.
+
+Covered words are repeat words too (from `min_repeat` 3 on), so `max_covered`
+rejects further texts only below MAX_REPEAT_WORDS; by default it is equal, and
+beyond the base rules only `max_longest` does.
 
 Edge cases: a null or empty text has zero counts and fails the base rules; ties
 cannot arise; repeated rows are scored alike, one output row per input row;
@@ -26,6 +33,7 @@ from fronda.llm import common as C
 
 MIN_WORDS = 50
 MAX_REPEAT_WORDS = 0.5
+WINDOW = 3  # words of the base rule's repeated windows
 MIN_REPEAT = 8
 MAX_COVERED = 0.5
 MAX_LONGEST = 200
@@ -115,15 +123,17 @@ def suffix_array(keys: np.ndarray, ends: np.ndarray, doc: np.ndarray | None = No
     return array, levels
 
 
-def _equal(level: tuple[np.ndarray | None, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the windows of a level at places a and b (a != b) are equal."""
+def _equal(level: tuple[np.ndarray | None, np.ndarray], a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Whether the windows of a level at places a and b (a != b) of n are equal."""
     places, ranks = level
     if places is None:
         return ranks[a] == ranks[b]
     if not len(places):
         return np.zeros(len(a), bool)
-    at, to = (np.minimum(np.searchsorted(places, x), len(places) - 1) for x in (a, b))
-    return (places[at] == a) & (places[to] == b) & (ranks[at] == ranks[to])
+    own = np.full(n, -1, ranks.dtype)
+    own[places] = ranks
+    found = own[a]
+    return (found >= 0) & (found == own[b])
 
 
 def common_prefixes(array: np.ndarray, levels: list[tuple[np.ndarray | None, np.ndarray]], ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,24 +141,22 @@ def common_prefixes(array: np.ndarray, levels: list[tuple[np.ndarray | None, np.
     low = 0
     while 2 << low <= least and low + 1 < len(levels):
         low += 1
-    near = np.flatnonzero(_equal(levels[low], array[:-1], array[1:])) if 1 << low <= least else np.arange(len(array) - 1)
+    n = len(array)
+    near = np.flatnonzero(_equal(levels[low], array[:-1], array[1:], n)) if 1 << low <= least else np.arange(n - 1)
     a, b = array[near].astype(np.int64), array[near + 1].astype(np.int64)
     size = np.zeros(len(a), np.int64)
-    n = len(array)
+    # no window of the last level occurs twice, so each level adds its width once at most
     for k in range(len(levels) - 1, -1, -1):
-        while True:
-            at, to = a + size, b + size
-            ok = (at + (1 << k) <= ends[a]) & (to + (1 << k) <= ends[b])
-            ok &= _equal(levels[k], np.minimum(at, n - 1), np.minimum(to, n - 1))
-            if not ok.any():
-                break
-            size += np.where(ok, 1 << k, 0)
+        at, to = a + size, b + size
+        ok = (at + (1 << k) <= ends[a]) & (to + (1 << k) <= ends[b])
+        ok &= _equal(levels[k], np.minimum(at, n - 1), np.minimum(to, n - 1), n)
+        size += np.where(ok, 1 << k, 0)
     long = size >= least
     return a[long], b[long], size[long]
 
 
-def repeats(hashes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per word: whether a repeated substring of `least` words or more covers it, and the longest that starts there."""
+def repeats(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Per word: the longest repeated substring of its text that starts there, 0 if that has fewer than `least` words."""
     n = len(hashes)
     longest = np.zeros(n, np.int64)
     if n:
@@ -158,8 +166,7 @@ def repeats(hashes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
         a, b, size = common_prefixes(array, levels, ends, least)
         np.maximum.at(longest, a, size)
         np.maximum.at(longest, b, size)
-    at = np.flatnonzero(longest)
-    return _covered(at, longest[at], n), longest
+    return longest
 
 
 def measure(data: np.ndarray, offsets: np.ndarray, least: int = MIN_REPEAT) -> dict[str, np.ndarray]:
@@ -183,13 +190,13 @@ def measure(data: np.ndarray, offsets: np.ndarray, least: int = MIN_REPEAT) -> d
     out["n_dup_lines"] = np.bincount(of[again], minlength=n).astype(np.int64)
 
     hashes = C.word_hashes(data, starts, ends, lower=False)
-    windows, w_at = C.window_hashes(hashes, at, 3)
-    w_doc = np.repeat(np.arange(n), np.diff(w_at))
-    twice = np.flatnonzero(_shared(C.mix(windows ^ C.mix(w_doc.astype(np.uint64)))))
-    begin = at[w_doc[twice]] + twice - w_at[w_doc[twice]]
-    out["n_repeat_words"] = _sums(_covered(begin, np.full(len(begin), 3), len(hashes)), at)
+    longest = repeats(hashes, at, min(WINDOW, least))
+    begin = np.flatnonzero(longest >= WINDOW)
+    out["n_repeat_words"] = _sums(_covered(begin, longest[begin], len(hashes)), at)
 
-    covered, longest = repeats(hashes, at, least)
+    longest[longest < least] = 0
+    begin = np.flatnonzero(longest)
+    covered = _covered(begin, longest[begin], len(hashes))
     out["covered_words"] = _sums(covered, at)
     out["longest_repeat"] = np.zeros(n, np.int64)
     np.maximum.at(out["longest_repeat"], np.repeat(np.arange(n), n_words), longest)

@@ -143,6 +143,35 @@ def test_quality_rules_verdicts(spark, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def measured(texts, least=quality_rules.MIN_REPEAT):
+    found = quality_rules.measure(*common.text_buffer(pa.array(texts, pa.string())), least)
+    return [tuple(int(found[k][i]) for k in ("n_repeat_words", "covered_words", "longest_repeat")) for i in range(len(texts))]
+
+
+def test_suffix_array_decides_the_base_rule(monkeypatch):
+    texts = ["a b c " * 40, " ".join(f"w{k}" for k in range(120))]
+    assert [x[0] for x in measured(texts)] == [120, 0]
+    # without the array's intervals no text fails by repetition: nothing beside them counts repeats
+    monkeypatch.setattr(quality_rules, "common_prefixes", lambda *_: (np.zeros(0, np.int64),) * 3)
+    assert measured(texts) == [(0, 0, 0)] * 2
+
+
+def test_repeats_of_few_words_match_brute_force():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefgh")[: 1 + i % 8], rng.integers(0, 70))) for i in range(150)]
+    texts += [" ".join(list("abc") * 9 + list("xyz") + list("abc") * 9), "a a", "a a a", "a b a b", "a b c a b c", None]
+    assert measured(texts) == [brute_rules(t)[4:] for t in texts]
+    assert [x[0] for x in measured(texts, 2)] == [brute_rules(t)[4] for t in texts]
+    assert all(covered <= repeated for repeated, covered, _ in measured(texts))
+
+
+def test_longest_repeat_rejects_what_the_base_rules_pass(spark):
+    one, two = ([f"{x}{k}" for k in range(size)] for x, size in (("v", 201), ("u", 700)))
+    texts = [(1, " ".join(one + two + one)), (2, " ".join(one[1:] + two + one[1:]))]
+    found = quality_rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.longest_repeat, r.base_failed, r.kept) for r in found} == {(1, 201, False, False), (2, 200, False, True)}
+
+
 def test_classifier_learns_from_text_only(spark, docs, rows, empty):
     labels = [(r[0], int(not (r[0] % 10 == 4 and "#" in (r[1] or "#"))), 0, "x") for r in rows if r[0] is not None and r[0] not in (5, 6, 7)]
     frame = spark.createDataFrame([*labels, (3, None, 1, "x"), (None, 1, 0, "x"), (20, 7, 0, "x")], "doc_id long, quality int, toxic int, text string")
